@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, license_scan, token_shards, url_rules
+from . import bpe, language_id, license_scan, token_shards, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_license_scan": license_scan.op4_license_scan,
     "op7_token_shards": token_shards.op7_token_shards,
     "op8_url_rules": url_rules.op8_url_rules,
+    "op9_language_id": language_id.op9_language_id,
     "op10_bpe": bpe.op10_bpe,
 }
 
