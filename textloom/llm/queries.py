@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language_id, license_scan, token_shards, url_rules
+from . import bpe, language_id, license_scan, mixing, token_shards, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_mixing": mixing.op3_mixing,
     "op4_license_scan": license_scan.op4_license_scan,
     "op7_token_shards": token_shards.op7_token_shards,
     "op8_url_rules": url_rules.op8_url_rules,
@@ -17,5 +18,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_mixing": mixing.ORACLE,
     "op8_url_rules": url_rules.ORACLE,
 }
