@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language_id, license_scan, lz_fingerprint, mixing, token_shards, url_rules
+from . import bpe, language_id, license_scan, lz_fingerprint, media_chunks, mixing, token_shards, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": mixing.op3_mixing,
     "op4_license_scan": license_scan.op4_license_scan,
+    "op5_media_chunks": media_chunks.op5_media_chunks,
     "op6_lz_fingerprint": lz_fingerprint.op6_lz_fingerprint,
     "op7_token_shards": token_shards.op7_token_shards,
     "op8_url_rules": url_rules.op8_url_rules,
