@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language_id, license_scan, lz_fingerprint, media_chunks, mixing, token_shards, url_rules
+from . import bpe, language_id, license_scan, lz_fingerprint, media_chunks, mixing, ngram_join, token_shards, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": ngram_join.op1_ngram_join,
     "op3_mixing": mixing.op3_mixing,
     "op4_license_scan": license_scan.op4_license_scan,
     "op5_media_chunks": media_chunks.op5_media_chunks,
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_ngram_join": ngram_join.ORACLE,
     "op3_mixing": mixing.ORACLE,
     "op8_url_rules": url_rules.ORACLE,
 }
