@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language_id, license_scan, lz_fingerprint, media_chunks, mixing, ngram_join, token_shards, url_rules
+from . import bpe, html_extract, language_id, license_scan, lz_fingerprint, media_chunks, mixing, ngram_join, token_shards, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
+    "op2_html_extract": html_extract.op2_html_extract,
     "op3_mixing": mixing.op3_mixing,
     "op4_license_scan": license_scan.op4_license_scan,
     "op5_media_chunks": media_chunks.op5_media_chunks,
