@@ -152,7 +152,7 @@ def decode(df: DataFrame, vocabulary: str, key: str = "doc_id", keep: tuple[str,
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in (key, *keep)] + [decoded], names=[key, *keep, "decoded"])
 
     kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in (key, *keep))
-    return arrow_map(df.select(key, *keep, "ids", "ends"), run, f"{kinds}, decoded binary")
+    return arrow_map(df.select(*dict.fromkeys([key, *keep, "ids", "ends"])), run, f"{kinds}, decoded binary")
 
 
 def decode_range(ids: list[int], ends: list[int], start: int, stop: int, vocabulary: str) -> bytes:
