@@ -152,9 +152,6 @@ class Cut:
         self.begin = at[~separator]
         self.end = np.append(at[1:], len(cp))[~separator]
 
-    def text(self, i: int) -> str:
-        return self.joined[self.begin[i] : self.end[i]]
-
 
 def slices(texts: list[str]) -> tuple[list[str], np.ndarray]:
     """(all slices of all texts in order, how many each text has)."""
@@ -224,18 +221,25 @@ class SliceCache:
 
     def learn(self, cut: Cut, h: np.ndarray, rows: np.ndarray) -> None:
         new, first = np.unique(h[rows], return_index=True)
-        size = int(self.mask) + 1
-        for key, i in zip(new.tolist(), rows[first].tolist()):
-            ids = self.encode_slice(cut.text(i))
-            if self.filled + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), np.int32)])
-            self.pool[self.filled : self.filled + len(ids)] = ids
-            at = key & (size - 1)
-            while self.keys[at]:
-                at = (at + 1) & (size - 1)
-            self.keys[at], self.place[at], self.count[at] = key, self.filled, len(ids)
-            self.filled += len(ids)
-            self.used += 1
+        coded = [self.encode_slice(cut.joined[a:b]) for a, b in zip(cut.begin[rows[first]].tolist(), cut.end[rows[first]].tolist())]
+        count = np.fromiter(map(len, coded), np.int64, len(coded))
+        need = self.filled + int(count.sum())
+        if need > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), need - len(self.pool)), np.int32)])
+        self.pool[self.filled : need] = np.fromiter((i for ids in coded for i in ids), np.int32, need - self.filled)
+        place = self.filled + np.cumsum(count) - count
+        self.filled = need
+        self.used += len(new)
+        # Every round, one key takes each free slot; those that met a taken one move on by one.
+        at = new.astype(np.int64) & self.mask
+        left = np.arange(len(new))
+        while len(left):
+            free = left[self.keys[at[left]] == 0]
+            slot, winner = np.unique(at[free], return_index=True)
+            won = free[winner]
+            self.keys[slot], self.place[slot], self.count[slot] = new[won], place[won], count[won]
+            left = left[self.keys[at[left]] != new[left]]
+            at[left] = (at[left] + 1) & self.mask
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in order, how many each text has)."""

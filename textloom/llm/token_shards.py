@@ -57,30 +57,35 @@ def tokenizer_cache(path: str) -> tuple[SliceCache, int]:
     return SliceCache(encode), tokenizer.get_vocab_size()
 
 
-def compress(ids: np.ndarray, doc_len: np.ndarray, first: int, min_count: int = 6, rounds: int = 24) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, doc_len: np.ndarray, first: int, min_count: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(sequence, rules [n, 2], expansion lengths, document starts in the sequence).
 
-    A round replaces, left to right, all pairs whose count is within a factor of 8 of the most
-    frequent one; pairs never cross a document's end. Rounds end when no pair is frequent.
+    A round replaces, left to right, all pairs that are at least as frequent as its threshold, which
+    falls fourfold from round to round down to min_count; pairs never cross a document's end. Counts
+    of hashed pairs bound the true counts from above and so pick what needs to be sorted. Rounds end
+    when no pair is frequent.
     """
     seq = ids.astype(np.int64)
     last = np.zeros(len(seq), bool)
     last[np.cumsum(doc_len) - 1] = True
     rules: list[np.ndarray] = []
     length = np.ones(first, np.int64)
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    least = None
+    while len(seq) > 1:
         code = (seq[:-1] << 32) | seq[1:]
         bucket = (code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(47)
         bucket = bucket.astype(np.int64)
         open_ = ~last[:-1]
-        heavy = np.bincount(bucket[open_], minlength=1 << 17) >= min_count
-        at = np.flatnonzero(open_ & heavy[bucket])
+        held = np.bincount(bucket[open_], minlength=1 << 17)
+        final = least == min_count
+        least = max(min_count, int(held.max()) // 2 if least is None else least // 4)
+        at = np.flatnonzero(open_ & (held >= least)[bucket])
         pairs, count = np.unique(code[at], return_counts=True)
-        if not len(pairs) or count.max() < min_count:
-            break
-        pairs = pairs[count >= max(min_count, count.max() // 8)]
+        pairs = pairs[count >= least]
+        if not len(pairs):
+            if final or least == min_count:
+                break
+            continue
         place = np.minimum(np.searchsorted(pairs, code[at]), len(pairs) - 1)
         chosen = pairs[place] == code[at]
         at, place = at[chosen], place[chosen]
