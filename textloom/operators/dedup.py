@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -30,31 +31,13 @@ def drop_exact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return docs.select(key, content_hash(F.col(text)).alias("hash")).groupBy("hash").agg(F.min(key).alias(key)).select(key, "hash")
 
 
-def shingles(text: Column) -> Column:
-    """The first 4 000 shingles of four words, repeats kept."""
-    w = words(text)
-    count = F.least(F.size(w) - (SHINGLE - 1), F.lit(MOST_SHINGLES))
-    return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(w, i, SHINGLE), " "))).otherwise(F.array().cast("array<string>"))
+def simhash(text: Column, digest: str = "blake2b") -> Column:
+    """Signed 64-bit SimHash over the first 4 000 shingles of four words, repeats counted; 0 under four words.
 
-
-def simhash_native(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, value): 64-bit SimHash over MD5 of the shingles; 0 under four words.
-
-    64 sums with partial aggregation: a document's shingles collapse to one row per task.
+    One Arrow UDF a document: digests of 8 bytes (BLAKE2b-64, or the upper half of MD5) are summed bit by
+    bit in numpy. A native form needs 64 sums over exploded shingles and measured several times slower.
     """
-    half = lambda at: F.conv(F.substring("h", at, 8), 16, 10).cast("bigint")
-    rows = docs.select(key, F.explode_outer(shingles(F.col(text))).alias("s")).select(key, F.md5("s").alias("h")).select(key, half(1).alias("hi"), half(9).alias("lo"))
-    sums = [F.sum(F.when(F.col(part).bitwiseAND(F.lit(1 << b)) != 0, 1).otherwise(-1)).alias(f"{part}{b}") for part in ("hi", "lo") for b in range(32)]
-    bits = rows.filter("hi is not null").groupBy(key).agg(*sums)
-    word = lambda part: sum((F.when(F.col(f"{part}{b}") > 0, F.lit(1 << b)).otherwise(F.lit(0)) for b in range(32)), F.lit(0).cast("bigint"))
-    found = bits.select(key, F.shiftleft(word("hi"), 32).bitwiseOR(word("lo")).alias("value"))
-    return docs.select(key).join(found, key, "left").select(key, F.coalesce("value", F.lit(0).cast("bigint")).alias("value"))
-
-
-def simhash_blake(text: Column) -> Column:
-    """64-bit SimHash over BLAKE2b-64 of the shingles, in one Arrow UDF; signed."""
-    import re
-
+    make = {"blake2b": lambda b: hashlib.blake2b(b, digest_size=8).digest(), "md5": lambda b: hashlib.md5(b).digest()[:8]}[digest]
     word = re.compile(WORDS)
 
     def one(t: str | None) -> int:
@@ -62,13 +45,18 @@ def simhash_blake(text: Column) -> Column:
         n = min(len(w) - (SHINGLE - 1), MOST_SHINGLES)
         if n <= 0:
             return 0
-        raw = b"".join(hashlib.blake2b(" ".join(w[i : i + SHINGLE]).encode(), digest_size=8).digest() for i in range(n))
+        raw = b"".join(make(" ".join(w[i : i + SHINGLE]).encode()) for i in range(n))
         ones = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(n, 8), axis=1).sum(axis=0, dtype=np.int64)
         return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
 
     return F.pandas_udf(lambda texts: texts.map(one), "bigint")(text)
 
 
+def fingerprints(docs: DataFrame, digest: str = "blake2b", key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, value), stored: pairs and rounds read it more than once."""
+    return cut(docs.select(key, simhash(F.col(text), digest).alias("value")))
+
+
 def bands(values: DataFrame, key: str = "doc_id", value: str = "value") -> DataFrame:
     """(key, band, band_value): four bands of 16 bits, the low one first."""
     v = F.col(value)

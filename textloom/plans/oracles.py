@@ -339,7 +339,7 @@ ORACLES["qry9"] = "SELECT user_id % 20 AS system, event_type, round(median(value
 SYSTEMS = f"{ASKED}, {ranking('A', 'a')}, {ranking('D', 'd')}, sys AS (SELECT 'A' AS system, * FROM topa UNION ALL SELECT 'D', * FROM topd)"
 POOL = "pool AS (SELECT query_id, doc_id, string_agg(system || ':' || rank, ' ' ORDER BY system) AS ranks FROM sys GROUP BY ALL)"
 ORACLES["eva1"] = f"WITH {SYSTEMS}, {POOL} SELECT query_id, doc_id, ranks FROM pool"
-ORACLES["snk7"] = f"WITH {SYSTEMS}, {POOL} SELECT query_id, pool.doc_id, ranks, CAST(CASE WHEN query_id = 3 THEN quality END AS BIGINT) AS relevant FROM pool LEFT JOIN labels ON labels.doc_id = pool.doc_id"
+ORACLES["snk7"] = f"WITH {SYSTEMS}, {POOL} SELECT query_id, pool.doc_id, ranks, CAST(coalesce(CASE WHEN query_id = 3 THEN quality END, -1) AS BIGINT) AS relevant FROM pool LEFT JOIN labels ON labels.doc_id = pool.doc_id"
 ORACLES["eva2"] = rf"SELECT doc_id, {TITLE} AS title, substr(trim(regexp_replace(substr(text, length(split_part(text, chr(10), 1)) + 2, 900), '\s+', ' ', 'g')), 1, 260) AS extract FROM documents"
 _PREC = f"prec AS (SELECT system, query_id, coalesce(sum(quality), 0) / {q.K} AS p, CAST(sum(CASE WHEN quality IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS unjudged FROM sys LEFT JOIN labels USING (doc_id) GROUP BY ALL)"
 ORACLES["eva3"] = f"WITH {SYSTEMS}, {_PREC} SELECT system, query_id, round(p, 6) AS p_at_k, unjudged FROM prec"
@@ -371,10 +371,10 @@ _NOISE = {
     "df_2": "df <= 2",
     "one_letter": r"regexp_matches(term, '^\p{L}$')",
 }
-_PART = "SELECT '{0}' AS category, CAST(sum(CASE WHEN {1} THEN 1 ELSE 0 END) AS BIGINT) AS terms, CAST(sum(CASE WHEN {1} THEN df ELSE 0 END) AS BIGINT) AS postings, CAST(sum(CASE WHEN {1} THEN b ELSE 0 END) AS BIGINT) AS bytes, count(*) AS at, sum(df) AS ap, sum(b) AS ab FROM z".format
+_PART = "SELECT '{0}' AS category, CAST(sum(CASE WHEN {1} THEN 1 ELSE 0 END) AS BIGINT) AS terms, CAST(sum(CASE WHEN {1} THEN df ELSE 0 END) AS BIGINT) AS postings, CAST(sum(CASE WHEN {1} THEN b ELSE 0 END) AS BIGINT) AS bytes, count(*) AS t_all, sum(df) AS p_all, sum(b) AS b_all FROM z".format
 ORACLES["sta7"] = f"""WITH {post()}, {SIZES}, z AS (SELECT term, df, entry_bytes + payload_bytes AS b FROM sizes)
-SELECT category, terms, postings, bytes, round(100 * terms / at, 6) AS terms_pct, round(100 * postings / ap, 6) AS postings_pct, round(100 * bytes / ab, 6) AS bytes_pct FROM ({' UNION ALL '.join(_PART(k, t) for k, t in _NOISE.items())})"""
-_CHANGE = "CASE WHEN n.{0} IS NULL OR b.{0} IS NULL OR b.{0} = 0 THEN '-' WHEN abs((n.{0} - b.{0}) / b.{0}) < 0.005 THEN '≈ 0 %' ELSE printf('%+.0f', 100 * (n.{0} - b.{0}) / b.{0}) || ' %' END AS {0}".format
+SELECT category, terms, postings, bytes, round(100 * terms / t_all, 6) AS terms_pct, round(100 * postings / p_all, 6) AS postings_pct, round(100 * bytes / b_all, 6) AS bytes_pct FROM ({' UNION ALL '.join(_PART(k, t) for k, t in _NOISE.items())})"""
+_CHANGE = "CASE WHEN n.{0} IS NULL OR b.{0} IS NULL OR b.{0} = 0 THEN '-' WHEN abs((n.{0} - b.{0}) / b.{0}) < 0.005 THEN '≈ 0 %' ELSE printf('%+.0f', 100.0 * ((n.{0} - b.{0}) / b.{0})) || ' %' END AS {0}".format
 ORACLES["sta8"] = f"WITH s AS {values(fx.BUILDS, 'policy', 'terms', 'postings', 'bytes', 'seconds')}, w AS {values(statistics.PAIRS, 'policy', 'base')} SELECT w.policy, w.base, {', '.join(map(_CHANGE, ('terms', 'postings', 'bytes', 'seconds')))} FROM w LEFT JOIN s n ON n.policy = w.policy LEFT JOIN s b ON b.policy = w.base"
 ORACLES["sta9"] = "WITH c AS (SELECT coalesce(event_type, 'total') AS outcome, count(*) AS n FROM events GROUP BY ROLLUP (event_type)) SELECT outcome, n, round(n / (SELECT max(n) FROM c), 6) AS share FROM c"
 ORACLES["sta10"] = "WITH w AS (SELECT time_bucket(INTERVAL '10 minutes', ts) AS w, count(*) AS n FROM events GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS events, count(*) AS windows, round(CAST(sum(n) AS DOUBLE) / (count(*) * 600.0), 9) AS per_second FROM w"

@@ -125,7 +125,7 @@ def snk1(s, d):
 def snk7(s, d):
     pooled = evaluate.pool(systems(s, d), K)
     old = table(s, d, "labels").select(F.lit(3).cast("bigint").alias("query_id"), "doc_id", F.col("quality").alias("relevant"))
-    return evaluate.merge_marks(pooled, old).select("query_id", "doc_id", "ranks", F.col("relevant").cast("bigint").alias("relevant"))
+    return evaluate.merge_marks(pooled, old).select("query_id", "doc_id", "ranks", F.coalesce("relevant", F.lit(-1)).cast("bigint").alias("relevant"))
 
 
 # ---- URLs and HTML ----
@@ -229,7 +229,7 @@ def fmt2(s, d):
 
 
 def values(s: SparkSession, d: str) -> DataFrame:
-    return dedup.simhash_native(docs(s, d))
+    return dedup.fingerprints(docs(s, d), "md5")
 
 
 @query("dup1")
@@ -244,7 +244,7 @@ def dup2(s, d):
 
 @query("dup3")
 def dup3(s, d):
-    return docs(s, d).select("doc_id", dedup.simhash_blake(F.col("text")).alias("value"))
+    return docs(s, d).select("doc_id", dedup.simhash(F.col("text")).alias("value"))
 
 
 @query("dup3_md5")

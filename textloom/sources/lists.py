@@ -10,7 +10,7 @@ LOG_SCHEMA = "ts double, url string, host string, depth int, outcome string, sou
 
 def lines(raw: DataFrame, column: str = "value") -> DataFrame:
     """Trimmed lines without blank ones and comments."""
-    line = F.trim(F.col(column))
+    line = F.regexp_replace(F.col(column), r"^\s+|\s+$", "")
     return raw.select(line.alias("line")).filter((F.col("line") != "") & ~F.col("line").startswith("#"))
 
 
@@ -20,7 +20,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def fields(listed: DataFrame, separator: str) -> DataFrame:
     """(head, item, pos): the first field of each line with each of the others."""
-    parts = F.transform(F.split("line", separator), F.trim)
+    parts = F.transform(F.split("line", separator), lambda x: F.trim(x))
     return listed.select(parts[0].alias("head"), F.posexplode(F.slice(parts, 2, F.size(parts))).alias("pos", "item"))
 
 
@@ -29,7 +29,7 @@ def lemmas(listed: DataFrame) -> DataFrame:
 
 
 def queries(listed: DataFrame) -> DataFrame:
-    parts = F.transform(F.split("line", r"\|"), F.trim)
+    parts = F.transform(F.split("line", r"\|"), lambda x: F.trim(x))
     return listed.select(parts[0].alias("query_id"), parts[1].alias("text"))
 
 
