@@ -87,6 +87,10 @@ def joined(t: str) -> str:
     return f"array_to_string({t}, ' ')"
 
 
+_NAMED = "SELECT source AS host, sha256(text || '#' || doc_id) AS hash FROM documents"
+ORACLES["idx1"] = f"SELECT host, hash, row_number() OVER (ORDER BY host, hash) - 1 AS doc_id FROM ({_NAMED})"
+_SUM = "CAST(sum(CAST(CAST('0x' || substr(h, {}, 12) AS BIGINT) AS HUGEINT)) AS VARCHAR)".format
+ORACLES["idx14"] = f"SELECT sha256({text(f'{index.VERSION}|0|{fx.POLICY_TEXT}|')} || count(*) || '|' || {_SUM(1)} || '|' || {_SUM(13)}) AS fingerprint FROM (SELECT {HASH} AS h FROM documents)"
 ORACLES["idx2"] = f"WITH {post()} SELECT term, doc_id, tf FROM post"
 ORACLES["idx3"] = f"WITH {toks()} SELECT doc_id, CAST(len(terms) AS BIGINT) AS n_tokens FROM toks"
 ORACLES["idx6"] = f"WITH {post()} SELECT term, df, cf FROM dict"
@@ -140,6 +144,7 @@ SELECT (SELECT count(*) FROM toks) AS documents, (SELECT {BIG('len(terms)')} FRO
 # ---- sources, sinks ----
 
 ORACLES["src1"] = f"SELECT row_number() OVER (ORDER BY source, {HASH}, doc_id) - 1 AS position, source AS host, {HASH} AS hash, doc_id FROM documents"
+ORACLES["src4"] = f"SELECT id, text FROM {values([(1, 'plain'), (2, 'é ü'), (3, 'bad ' + chr(0xFFFD) + ' byte'), (4, ''), (5, None)], 'id', 'text')}"
 ORACLES["src3"] = "SELECT doc_id, source, lang, n_chars FROM documents"
 ORACLES["src5"] = f"SELECT trim(x) AS line FROM {values([(x,) for x in fx.SEED_LINES], 'x')} WHERE trim(x) <> '' AND trim(x) NOT LIKE '#%'"
 ORACLES["src6"] = f"SELECT trim(x) AS line FROM {values([(x,) for x in fx.LIST_LINES], 'x')} WHERE trim(x) NOT IN ('', chr(9)) AND trim(x) NOT LIKE '#%'"
