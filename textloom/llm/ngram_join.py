@@ -40,6 +40,8 @@ RECALL = 0.9999
 #: Shingles of a block: bounds a unit of work at twice this many 64-bit hashes, or two documents.
 BLOCK = 600_000
 BLOCK_DOCS = 512
+#: Keys of 8 bytes each: some 50 MB as a hash table.
+BROADCAST_KEYS = 2_000_000
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most_hashes: int = 160) -> tuple[int, int]:
@@ -113,6 +115,33 @@ def sketches(df: DataFrame, key: str, text: str) -> DataFrame:
     return arrow_map(df.select(key, text), run, f"{key} {df.schema[key].dataType.simpleString()}, set_id binary, n int, bands array<bigint>")
 
 
+def local_forest(ties: DataFrame) -> DataFrame:
+    """ties (a, b) → ties with the same components and a row for each node and partition at most.
+
+    A node's ties meet in one partition, which joins its rows by union-find and sends each node with
+    its root: connectivity, aggregated before anything is joined. Memory is that of a partition's nodes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict[bytes, bytes] = {}
+
+        def find(x: bytes) -> bytes:
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = x = root.setdefault(up, up)
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+        found = [(x, r) for x in root if (r := find(x)) != x]
+        for at in range(0, len(found), 10_000):
+            part = found[at : at + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.binary()), pa.array([r for _, r in part], pa.binary())], names=["a", "b"])
+
+    return arrow_map(ties.select("a", "b").repartition("a"), run, "a binary, b binary")
+
+
 def components(nodes: DataFrame, edges: DataFrame, space: Workspace, label: str) -> DataFrame:
     """(node, root): the least node of each connected component. edges: (a, b).
 
@@ -228,8 +257,8 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", space: Workspac
 
     buckets = space.write(nodes.select("node", F.posexplode("bands").alias("band", "hash")).select("node", F.xxhash64("band", "hash").alias("bucket")), "buckets")
     heads = space.write(buckets.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("size")).filter("size > 1"), "heads")
-    ties = lookup_skewed(buckets, heads, "bucket", "size").filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
-    ties = space.write(ties, "ties")
+    ties = lookup_skewed(buckets, heads, "bucket", "size").filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    ties = space.write(local_forest(ties), "ties")
     space.drop("buckets")
     space.drop("heads")
     groups = components(both_ends(ties), ties, space, "candidates")
@@ -243,7 +272,10 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", space: Workspac
     placed = dealt.select("rep", "node", "copies", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("met")).select(
         "rep", "node", "copies", "root", F.least("block", "met").alias("low"), F.greatest("block", "met").alias("high"), (F.col("block") > F.col("met")).cast("int").alias("side")
     )
-    texts = df.join(members.select(F.col("rep").alias("id")).distinct(), "id").groupBy("id", F.xxhash64("text").alias("tie")).agg(F.min("text").alias("text"))
+    wanted = members.select(F.col("rep").alias("id")).distinct()
+    # The keys of candidates go to the texts while they are few; beyond that, texts are shuffled to meet them.
+    wanted = F.broadcast(wanted) if members.count() <= BROADCAST_KEYS else wanted
+    texts = df.join(wanted, "id").groupBy("id", F.xxhash64("text").alias("tie")).agg(F.min("text").alias("text"))
     units = placed.join(texts.select(F.col("id").alias("rep"), "text"), "rep").select("root", "low", "high", "side", "node", "copies", "text")
     found = space.write(verify(units), "found")
 
