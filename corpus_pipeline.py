@@ -18,8 +18,17 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_SCORE = 0.4
 
 
+#: Rows of an Arrow batch: whole texts pass through Python workers, which share an executor's memory with the JVM.
+BATCH_ROWS = "2000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents whose language can't be told: no letters, or two languages about as likely."""
+    small_batches(spark)
     model = language_id.fit(docs)
     said = language_id.identify(docs, model, keep=COLUMNS[1:])
     return said.filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
@@ -27,6 +36,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of least key of each class; documents that link to none stay."""
+    small_batches(spark)
     docs = docs.select(*COLUMNS)
     classes = ngram_join.join(docs)
     kept = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
@@ -45,6 +55,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, with the digests of ids and of the bytes they decode to."""
+    small_batches(spark)
     vocabulary = bpe.vocabulary_path()
     coded = bpe.encode(docs, vocabulary)
     checked = bpe.decode(coded, vocabulary, keep=("ids",))

@@ -83,7 +83,7 @@ class Model:
 
         return Model(langs, *matrix(words, "word"), *matrix(grams, "gram"))
 
-    def reset(self, most: int = 200_000) -> None:
+    def reset(self, most: int = 60_000) -> None:
         self.seen: dict[str, int] = {}
         self.rows = np.zeros((1024, len(self.langs)), np.float32)
         self.most = most
@@ -141,6 +141,7 @@ def identify(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in names), pa.array([x for x, _ in said], pa.string()), pa.array([x for _, x in said], pa.float64())], names=[*names, "lang_pred", "score"]
             )
+        held.reset()  # workers live on: what a task has cached would add up over the stages of a job
 
     kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in dict.fromkeys([key, *keep]))
     return arrow_map(df.select(*columns), run, f"{kinds}, lang_pred string, score double")

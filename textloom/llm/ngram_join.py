@@ -61,7 +61,7 @@ ADD = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 
 class WordHashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         return h
@@ -111,6 +111,7 @@ def sketches(df: DataFrame, key: str, text: str) -> DataFrame:
             ids = [set_digest(s) if len(s) else None for s in sets]
             bands = [band_keys(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(ids, pa.binary()), pa.array(map(len, sets), pa.int32()), pa.array(bands, pa.list_(pa.int64()))], names=[key, "set_id", "n", "bands"])
+        _words.clear()  # workers live on: what a task has cached would add up over the stages of a job
 
     return arrow_map(df.select(key, text), run, f"{key} {df.schema[key].dataType.simpleString()}, set_id binary, n int, bands array<bigint>")
 
