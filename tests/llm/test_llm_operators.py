@@ -121,6 +121,19 @@ def test_token_shards_match_the_library(odd, none, docs):
     assert token_shards.documents(token_shards.shards(none, path)).isEmpty()
 
 
+def test_token_shards_take_added_tokens_as_one_id(spark):
+    from tokenizers import Tokenizer
+
+    path, end = token_shards.tokenizer_path(), "<|endoftext|>"
+    library = Tokenizer.from_file(path)
+    texts = [f"a{end}b", end, end * 3, f"  {end}  x {end}\n", "plain text", "", f"{end} é日 {end}{end}y", "<|endoftext|", f"<{end}>"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: (r["start"], np.frombuffer(bytes(r["ids"]), "<u4").tolist()) for r in token_shards.documents(token_shards.shards(df, path)).collect()}
+    want = [[*library.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert want[0] == [64, 50256, 65, 0] and [got[i][1] for i in range(len(texts))] == want
+    assert [got[i][0] for i in range(len(texts))] == [0, *np.cumsum([len(w) for w in want])[:-1].tolist()]
+
+
 # ---- 1 n-gram join
 
 

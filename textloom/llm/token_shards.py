@@ -5,6 +5,9 @@ holds a grammar: the frequent id pairs are replaced by nonterminals, round after
 file keeps rules, expansion lengths, the remaining sequence and each document's place in it, so one
 document (or a range of its ids) is expanded without its neighbours.
 
+A text is encoded as the library's encode(text, add_special_tokens=False) does it: the tokenizer's
+added tokens, special ones too, are one id each wherever their string stands in a text.
+
 Defined results: null text counts as empty (its only id is the end id); null keys come first; rows
 with equal keys are ordered by text hash, then text, and each keeps its own entry; other columns are
 not read, so their names cannot clash; an empty table gives no shard and an empty result.
@@ -13,6 +16,7 @@ not read, so their names cannot clash; an empty table gives no shard and an empt
 from __future__ import annotations
 
 import json
+import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -39,14 +43,39 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class AddedTokens:
+    """Encodes texts as the library does: added tokens are cut out first (leftmost, then longest), each is one id, and the text between them is sliced on its own."""
+
+    def __init__(self, cache: SliceCache, added: list[dict]):
+        if any(t.get(flag) for t in added for flag in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens of this tokenizer are not plain strings")
+        self.cache = cache
+        self.ids = {t["content"]: t["id"] for t in added if t["content"]}
+        self.pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.ids, key=len, reverse=True))) + ")") if self.ids else None
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in order, how many each text has)."""
+        if not self.pattern or not any(map(self.pattern.search, texts)):
+            return self.cache.encode(texts)
+        parts = [self.pattern.split(t) for t in texts]  # text at even places, added tokens between
+        flat, count = self.cache.encode([x for p in parts for x in p[::2]])
+        per_text = np.fromiter((len(p) // 2 + 1 for p in parts), np.int64, len(parts))
+        ends = np.cumsum(per_text)
+        between = np.ones(len(count), bool)
+        between[ends - 1] = False
+        flat = np.insert(flat, np.cumsum(count)[between], [self.ids[x] for p in parts for x in p[1::2]])
+        return flat, np.add.reduceat(count + between, ends - per_text)
+
+
 @lru_cache(2)
-def tokenizer_cache(path: str) -> tuple[SliceCache, int]:
-    """(cache over the library's BPE model, size of the vocabulary), one for each worker process."""
+def tokenizer_cache(path: str) -> tuple[AddedTokens, int]:
+    """(cache over the library's BPE model behind its added tokens, size of the vocabulary), one for each worker process."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     with open(path, encoding="utf-8") as f:
-        kind = json.load(f)["pre_tokenizer"]
+        stored = json.load(f)
+    kind = stored["pre_tokenizer"]
     if kind.get("type") != "ByteLevel" or kind.get("add_prefix_space") or not kind.get("use_regex", True):
         raise ValueError("slices of this tokenizer are not those of the byte-level pattern")
     letters, model = byte_letters(), tokenizer.model
@@ -54,7 +83,7 @@ def tokenizer_cache(path: str) -> tuple[SliceCache, int]:
     def encode(piece: str) -> list[int]:
         return [t.id for t in model.tokenize(piece.encode("utf-8").decode("latin-1").translate(letters))]
 
-    return SliceCache(encode), tokenizer.get_vocab_size()
+    return AddedTokens(SliceCache(encode), stored.get("added_tokens") or []), tokenizer.get_vocab_size()
 
 
 def compress(ids: np.ndarray, doc_len: np.ndarray, first: int, min_count: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
