@@ -52,13 +52,17 @@ def byte_length(n):
     return F.when(n < 40, n.cast("double")).otherwise(F.lit(24.0) + kept)
 
 
-def classic(queries: DataFrame, index: Index, policy: Policy, k: int = TOP, key: str = "query_id", idf_power: int = 2) -> DataFrame:
-    """A disjunction with one clause per term occurrence: √tf · idf^power / √length, idf = 1 + ln((N+1)/(df+1))."""
+def classic(queries: DataFrame, index: Index, policy: Policy, k: int | None = TOP, key: str = "query_id", idf_power: int = 2) -> DataFrame:
+    """A disjunction with one clause per term occurrence: √tf · idf^power / √length, idf = 1 + ln((N+1)/(df+1)).
+
+    Without k, (query_id, doc_id, score) of all documents that a query meets.
+    """
     idf = F.lit(1.0) + F.log(F.lit(index.n_docs + 1) / (F.col("df") + 1))
     clauses = query_terms(queries, policy, key).join(index.dictionary.select("term", "df"), "term").select(key, "term", "tfq", idf.alias("idf"))
     hits = clauses.join(index.postings, "term").join(index.docs.select("doc_id", "n_tokens"), "doc_id")
     part = F.col("tfq") * F.sqrt(F.col("tf").cast("double")) * F.pow("idf", F.lit(idf_power)) / F.sqrt(byte_length(F.col("n_tokens")))
-    return top_k(hits.groupBy(key, "doc_id").agg(F.sum(part).alias("score")), k, key)
+    scored = hits.groupBy(key, "doc_id").agg(F.sum(part).alias("score"))
+    return scored if k is None else top_k(scored, k, key)
 
 
 def present(results: DataFrame, docs: DataFrame, host: str = "source") -> DataFrame:
