@@ -41,6 +41,16 @@ def test_policies_a_and_b(spark):
         assert [r["t"] for r in got] == [x[at] for x in NORMALISED]
 
 
+MARKED = [("Čech Győr Șumudică Źrebak", ["cech", "gyor", "sumudica", "zrebak"]), ("ﬁnal ２０２０ Straße Ǆ", ["final", "2020", "straße", "dz"]), ("Ελλάδα Йод กำ", ["ελλαδα", "иод", "กา"]), ("Ťhe café", ["cafe"]), ("ﷺ", ["صلى الله عليه وسلم"]), ("plain", ["plain"])]
+
+
+def test_accents_of_every_script(spark):
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(MARKED)], "id int, text string")
+    for name in "BCEF":
+        got = [r["t"] for r in rows.select("id", normalize.terms(F.col("text"), POLICIES[name]).alias("t")).orderBy("id").collect()]
+        assert got == [[porter.stem(w) if name == "E" and w.isalpha() else w for w in want] for _, want in MARKED]
+
+
 def test_entities_synonyms_and_stems(spark):
     rows = spark.createDataFrame([("Man City goalies scoring goals in the EPL",)], "text string")
     assert rows.select(normalize.terms(F.col("text"), POLICIES["E"])).first()[0] == ["manchester_city", "goali", "score", "goal", "premier_league"]
