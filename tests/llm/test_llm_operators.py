@@ -289,6 +289,13 @@ def test_media_round_trip(odd, none, docs):
     assert media_chunks.facts(*media_chunks.store(none)).isEmpty()
 
 
+def test_media_sizes_are_each_rows_own(spark):
+    texts = ["a", "a\0", "a\0\0", "", "\0", "b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_bytes"] for r in media_chunks.facts(*media_chunks.store(df)).collect()}
+    assert got == {i: len(t) for i, t in enumerate(texts)}
+
+
 # ---- 6 fingerprints
 
 

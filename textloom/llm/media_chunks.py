@@ -106,10 +106,10 @@ def features(samples: bytes) -> str:
     return f"mean={x.mean():.4f};std={x.std():.4f};zc={crossings};peak={int(np.abs(x).max())};rms=" + ",".join(f"{p:.3f}" for p in parts)
 
 
-def described(media: bytes, n_bytes: int) -> tuple:
-    """What a stored file gives when it is read back."""
+def described(media: bytes) -> tuple:
+    """What a stored file gives when it is read back: FACTS without n_bytes, which is each row's own."""
     samples = samples_of(media)
-    return n_bytes, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-PAD:]), len(media), hashlib.sha256(media).hexdigest(), features(samples)
+    return len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-PAD:]), len(media), hashlib.sha256(media).hexdigest(), features(samples)
 
 
 FACTS = [("n_bytes", "bigint"), ("payload_bytes", "bigint"), ("payload_sha256", "string"), ("tail_crc32", "bigint"), ("media_bytes", "bigint"), ("media_sha256", "string"), ("feature", "string")]
@@ -200,29 +200,30 @@ def facts(files: DataFrame, kept: DataFrame, key: str = "doc_id") -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                said = [described(verified([c["bytes"] for c in got], name), n) for name, n, got in zip(*(part.column(c).to_pylist() for c in ("media", "n_bytes", "chunks")))]
+                said = [(n, *described(verified([c["bytes"] for c in got], name))) for name, n, got in zip(*(part.column(c).to_pylist() for c in ("media", "n_bytes", "chunks")))]
                 yield pa.RecordBatch.from_arrays([part.column(key), *(pa.array([s[i] for s in said], ARROW[t]) for i, (_, t) in enumerate(FACTS))], names=[key, *(n for n, _ in FACTS)])
 
     alone = arrow_map(files.filter("whole").select(key, "media", "n_bytes", "chunks"), own, f"{key} {kind}, {schema}")
 
     # Files with shared chunks: each distinct one is rebuilt once, then looked up by the rows that hold it.
     some = files.filter("not whole")
-    distinct = some.groupBy("media").agg(F.first("n_bytes").alias("n_bytes"), F.first("chunks").alias("chunks"), F.count("*").alias("holders"))
-    pieces = distinct.select("media", "n_bytes", "holders", F.posexplode("chunks").alias("seq", "chunk")).select("media", "n_bytes", "holders", "seq", "chunk.*")
+    distinct = some.groupBy("media").agg(F.first("chunks").alias("chunks"), F.count("*").alias("holders"))
+    pieces = distinct.select("media", "holders", F.posexplode("chunks").alias("seq", "chunk")).select("media", "holders", "seq", "chunk.*")
     present = pieces.filter("bytes is not null")
     fetched = pieces.filter("bytes is null").drop("bytes").join(kept, "digest").select(*present.columns)
-    whole = present.unionByName(fetched).groupBy("media", "n_bytes", "holders").agg(F.array_sort(F.collect_list(F.struct("seq", "bytes"))).alias("parts"))
+    whole = present.unionByName(fetched).groupBy("media", "holders").agg(F.array_sort(F.collect_list(F.struct("seq", "bytes"))).alias("parts"))
 
     def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                said = [described(verified([c["bytes"] for c in got], name), n) for name, n, got in zip(*(part.column(c).to_pylist() for c in ("media", "n_bytes", "parts")))]
-                yield pa.RecordBatch.from_arrays([part.column("media"), part.column("holders"), *(pa.array([s[i] for s in said], ARROW[t]) for i, (_, t) in enumerate(FACTS))], names=["media", "holders", *(n for n, _ in FACTS)])
+                said = [described(verified([c["bytes"] for c in got], name)) for name, got in zip(*(part.column(c).to_pylist() for c in ("media", "parts")))]
+                yield pa.RecordBatch.from_arrays([part.column("media"), part.column("holders"), *(pa.array([s[i] for s in said], ARROW[t]) for i, (_, t) in enumerate(FACTS[1:]))], names=["media", "holders", *(n for n, _ in FACTS[1:])])
 
-    once = arrow_map(whole.select("media", "n_bytes", "holders", "parts"), rebuilt, f"media binary, holders bigint, {schema}")
+    about = ", ".join(f"{n} {t}" for n, t in FACTS[1:])
+    once = arrow_map(whole.select("media", "holders", "parts"), rebuilt, f"media binary, holders bigint, {about}")
     once = Workspace(files.sparkSession, "media-facts").write(once, "once")
-    others = lookup_skewed(some.select(key, "media"), once, "media", "holders")
+    others = lookup_skewed(some.select(key, "media", "n_bytes"), once, "media", "holders")
     return alone.unionByName(others.select(key, *(n for n, _ in FACTS)))
 
 
