@@ -104,3 +104,14 @@ MONTHS = {
     "january": 1, "jan": 1, "february": 2, "feb": 2, "march": 3, "mar": 3, "april": 4, "apr": 4, "may": 5, "june": 6, "jun": 6, "july": 7,
     "jul": 7, "august": 8, "aug": 8, "september": 9, "sep": 9, "sept": 9, "october": 10, "oct": 10, "november": 11, "nov": 11, "december": 12, "dec": 12,
 }
+
+#: Lemmas of frequent English words, most of them irregular: the lemma, then its forms.
+LEMMA_LINES = """
+be been being|begin began begun beginning|break broke broken|bring brought|build built|buy bought|catch caught|child children|choose chose chosen|come came coming
+do done|draw drew drawn|drive drove driven|fall fell fallen|feel felt|fight fought|find found|fly flew flown|foot feet|forget forgot forgotten|get got gotten getting
+give gave given giving|go went gone going goes|grow grew grown|hear heard|hold held|keep kept|know knew known|lead led|leave left leaving|lose lost losing|make made making
+man men|match matches|meet met|pay paid|play played playing plays|run ran running|say said says|score scored scoring scores|see saw seen|sell sold|send sent|show shown
+sit sat|speak spoke spoken|spend spent|stand stood|take took taken taking|teach taught|tell told|think thought|throw threw thrown|win won winning|woman women|write wrote written writing
+goal goals|team teams|player players|game games|season seasons|club clubs|fan fans|injury injuries|victory victories|penalty penalties
+""".replace("\n", "|").strip("|").split("|")
+LEMMAS = {form: line.split()[0] for line in LEMMA_LINES for form in line.split()[1:]}

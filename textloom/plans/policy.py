@@ -72,7 +72,7 @@ _E = replace(_F, name="E", entities=entity_map(v.ENTITY_LINES), reduction="stem"
 POLICIES = {
     "A": _A,
     "B": _B,
-    "C": replace(_E, name="C", reduction="lemma"),
+    "C": replace(_E, name="C", reduction="lemma", lemmas=v.LEMMAS),
     "D": replace(_A, name="D", stopwords=tuple(v.STOPWORDS)),
     "E": _E,
     "F": _F,
