@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html as html_library
 from functools import reduce
 
 from pyspark.sql import Column
@@ -9,22 +10,31 @@ from pyspark.sql import functions as F
 
 from . import vocabulary as v
 
-HREF = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""
+HREF = r"""(?is)<a\b[^>]*?\bhref\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
+BEFORE_HREF = r"(?is)^.*?\bhref\s*=\s*"
+QUOTES = r"""^["']|["']$"""
 TITLE = r"(?is)<title[^>]*>(.*?)</title>"
 #: Character references, the ampersand last.
 REFERENCES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
+OTHER_REFERENCE = "&(?!(?:" + "|".join(r[1:-1] for r, _ in REFERENCES) + ");)(?:#[0-9xX]|[a-zA-Z])"
 #: Where a page says when it was published, in order of preference.
 DATE_PATTERNS = [
-    *(rf"""(?is)<meta\b[^>]*\b{a}=["']{b}["'][^>]*\bcontent=["']([^"']*)["']""" for a, b in (("property", "article:published_time"), ("property", "article:modified_time"), ("name", "pubdate"), ("name", "date"), ("itemprop", "datePublished"))),
+    *(pattern for a, b in (("property", "article:published_time"), ("property", "article:modified_time"), ("name", "pubdate"), ("name", "date"), ("itemprop", "datePublished")) for pattern in (rf"""(?is)<meta\b[^>]*\b{a}=["']{b}["'][^>]*\bcontent=["']([^"']*)["']""", rf"""(?is)<meta\b[^>]*\bcontent=["']([^"']*)["'][^>]*\b{a}=["']{b}["']""")),
     r"""(?is)<time\b[^>]*\bdatetime=["']([^"']*)["']""",
 ]
 
 
 def links(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit(HREF), 1)
+    return F.transform(F.regexp_extract_all(html, F.lit(HREF), 0), lambda x: F.regexp_replace(F.regexp_replace(x, BEFORE_HREF, ""), QUOTES, ""))
 
 
 def unescape(text: Column) -> Column:
+    """Character references decoded: frequent ones natively; a text with any other goes through the standard library."""
+    every = F.pandas_udf(lambda texts: texts.map(lambda t: t if t is None else html_library.unescape(t)), "string")
+    return F.coalesce(every(F.when(text.rlike(OTHER_REFERENCE), text)), frequent(text))
+
+
+def frequent(text: Column) -> Column:
     return reduce(lambda t, r: F.replace(t, F.lit(r[0]), F.lit(r[1])), REFERENCES, text)
 
 

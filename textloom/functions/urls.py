@@ -25,18 +25,29 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
 
 
+def without_dots(path: Column) -> Column:
+    """Dot segments of an absolute path resolved; those that lead above the root are dropped."""
+    parts = F.split(path, "/")
+    kept = F.aggregate(
+        F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))),
+        F.array().cast("array<string>"),
+        lambda held, x: F.when(x == "..", F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(0)))).when(x == ".", held).otherwise(F.concat(held, F.array(x))),
+    )
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(path.rlike(r"[^/]/\.{1,2}$"), F.lit("/")).otherwise(F.lit("")))
+
+
 def resolve(base: Column, href: Column) -> Column:
-    """An absolute href, or one that is scheme- or root-relative, against its page; dot segments are left to `urljoin` users."""
+    """An href against its page: absolute as it is; scheme-, root- and path-relative ones, dot segments resolved in the path."""
     scheme = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*):", 1)
     root = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
-    folder = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(?:/(?:[^/?#]*/)*)?)", 1)
+    folder = F.concat(F.regexp_extract(path_of(base), r"^((?:/(?:[^/]*/)*)?)", 1), F.when(path_of(base).startswith("/"), F.lit("")).otherwise(F.lit("/")))
     page = F.regexp_replace(base, r"[?#].*$", "")
+    path, rest = F.regexp_extract(href, r"^([^?#]*)", 1), F.regexp_extract(href, r"^[^?#]*(.*)$", 1)
     return (
         F.when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), href)
         .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(root, href))
-        .when(href.startswith("?") | href.startswith("#"), F.concat(page, href))
-        .otherwise(F.concat(folder, F.when(folder.endswith("/"), F.lit("")).otherwise(F.lit("/")), href))
+        .when(path == "", F.concat(page, rest))
+        .otherwise(F.concat(root, without_dots(F.when(path.startswith("/"), path).otherwise(F.concat(folder, path))), rest))
     )
 
 

@@ -11,6 +11,7 @@ ROBOT_RULES = [("http://a.example.com", "/private", 5.0), ("http://a.example.com
 URLS = [
     ("HTTP://WWW.Example.com:80//a//b/?utm_source=x&q=1#f", None), ("http://example.com:443/", None), ("/x/", "https://example.com/y"), ("mailto:a@b.c", None), ("http://localhost/", None),
     ("https://example.com:8080/a", None), ("//cdn.example.org/x", "https://example.com/y"), ("?page=2", "https://example.com/y?old=1"), ("rel/z", "https://example.com/d/y"), ("http://user@example.com/q?&&a=1&gclid=2&b", None),
+    ("../d", "http://a.example.com/b/c"), ("./e/../f?x=/../y", "https://example.com/p/q/"), ("/a/./b/..", "https://example.com/z"), ("../../../up#x", "https://example.com/a/b"),
 ]
 HOSTS = ["news.bbc.co.uk", "www.goal.com", "a.b.c.com", "co.uk", "www.example.com:8080", "single"]
 CRAWL_URLS = ["http://example.com/sport/rugby/x", "http://example.com/sport/la-liga/x", "http://example.com/a.pdf", "http://shop.example.com/a", "http://other.net/a", "http://example.com/A.PDF/x", "http://example.com/"]
