@@ -19,7 +19,7 @@ import json
 import re
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +28,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, arrow_map, table, text_batches
-from .pretokenize import SliceCache
+from .pretokenize import SliceCache, room, runs
 
 MAGIC = b"RPR1"
 END_ID = 0
 HEAD = struct.Struct("<4sIIII")
+MOST_IDS = 1 << 21  # of an Arrow batch of expanded ids, or one document
 
 
 @lru_cache(1)
@@ -80,60 +81,111 @@ def tokenizer_cache(path: str) -> tuple[AddedTokens, int]:
         raise ValueError("slices of this tokenizer are not those of the byte-level pattern")
     letters, model = byte_letters(), tokenizer.model
 
-    def encode(piece: str) -> list[int]:
-        return [t.id for t in model.tokenize(piece.encode("utf-8").decode("latin-1").translate(letters))]
+    def encode(pieces: list[str]) -> list[list[int]]:
+        spelt = b"\xff".join(p.encode("utf-8") for p in pieces).decode("latin-1").translate(letters)
+        return [[t.id for t in model.tokenize(p)] for p in spelt.split(letters[0xFF])]  # a byte that UTF-8 has not
 
     return AddedTokens(SliceCache(encode), stored.get("added_tokens") or []), tokenizer.get_vocab_size()
 
 
-def compress(ids: np.ndarray, doc_len: np.ndarray, first: int, min_count: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, doc_len: np.ndarray, first: int, min_count: int = 4, fall: float = 2.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(sequence, rules [n, 2], expansion lengths, document starts in the sequence).
 
-    A round replaces, left to right, all pairs that are at least as frequent as its threshold, which
-    falls fourfold from round to round down to min_count; pairs never cross a document's end. Counts
-    of hashed pairs bound the true counts from above and so pick what needs to be sorted. Rounds end
-    when no pair is frequent.
+    Re-Pair in rounds: a round replaces, left to right, the pairs whose count is within a factor of
+    `fall` of the most frequent one's; pairs never cross a document's end. Rounds go on until no pair
+    occurs `min_count` times. A rule takes three words of a shard (its pair and its length), so a pair
+    that occurs three times saves nothing: 4 is the least count that makes a shard smaller. A count
+    of 2 runs to the end of the classic algorithm, and `fall` towards 1 takes its order; the README
+    gives measured sizes.
+
+    Counts never rise: a new pair holds a new symbol. So a pair seen too seldom is never looked at
+    again, and a round touches only the places of its pairs and the pairs beside its replacements.
     """
-    seq = ids.astype(np.int64)
-    last = np.zeros(len(seq), bool)
-    last[np.cumsum(doc_len) - 1] = True
+    n = len(ids)
+    seq = np.append(ids, [0, 0]).astype(np.int32)  # two places more: the end, and what stands before the start
+    last = np.zeros(n + 2, bool)
+    last[np.cumsum(doc_len) - 1] = last[n:] = True
+    after, before = np.arange(1, n + 3, dtype=np.int32), np.arange(-1, n + 1, dtype=np.int32)
+    gone = np.zeros(n, bool)
+    pair = np.full(n + 2, -1, np.int32)  # number of the pair that begins here, -1 if too rare
+    # Of each numbered pair: symbols, count, and where its places begin in `places`, which keeps stale ones.
+    lefts, rights, places = (np.zeros(1, np.int32) for _ in range(3))
+    counts, begins = np.zeros(1, np.int64), np.zeros(1, np.int64)
+    n_pairs = n_places = 0
     rules: list[np.ndarray] = []
     length = np.ones(first, np.int64)
-    least = None
-    while len(seq) > 1:
-        code = (seq[:-1] << 32) | seq[1:]
-        bucket = (code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(47)
-        bucket = bucket.astype(np.int64)
-        open_ = ~last[:-1]
-        held = np.bincount(bucket[open_], minlength=1 << 17)
-        final = least == min_count
-        least = max(min_count, int(held.max()) // 2 if least is None else least // 4)
-        at = np.flatnonzero(open_ & (held >= least)[bucket])
-        pairs, count = np.unique(code[at], return_counts=True)
-        pairs = pairs[count >= least]
-        if not len(pairs):
-            if final or least == min_count:
-                break
-            continue
-        place = np.minimum(np.searchsorted(pairs, code[at]), len(pairs) - 1)
-        chosen = pairs[place] == code[at]
-        at, place = at[chosen], place[chosen]
+    fresh = np.flatnonzero(~last[:n]).astype(np.int32)
+    while True:
+        # Number the new pairs. Counts of hashed pairs bound true counts from above and pick what is sorted.
+        wide = len(length).bit_length()
+        code = seq[fresh].astype(np.int64)
+        code <<= wide
+        code |= seq[after[fresh]] if n_pairs else seq[fresh + 1]
+        if n_pairs:  # of all pairs of a text most are frequent
+            bits = max(10, len(fresh).bit_length())
+            bucket = (code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
+            often = (np.bincount(bucket, minlength=1 << bits) >= min_count)[bucket]
+            fresh, code = fresh[often], code[often]
+        deep = len(fresh).bit_length()
+        if 2 * wide + deep < 63:  # code and place in one word sort faster than an order of codes
+            code <<= deep
+            code |= np.arange(len(fresh))
+            code.sort()
+            fresh = fresh[code & ((1 << deep) - 1)]
+            ranked = code >> deep
+        else:
+            order = np.argsort(code)
+            ranked, fresh = code[order], fresh[order]
+        head = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(ranked) else np.zeros(0, np.int64)
+        times = np.diff(np.append(head, len(ranked)))
+        frequent = times >= min_count
+        head, number = head[frequent], n_pairs + np.arange(int(frequent.sum()))
+        fresh = fresh[np.repeat(frequent, times)]
+        times = times[frequent]
+        pair[fresh] = np.repeat(number, times)
+        at, n_pairs, filled, n_places = n_pairs, n_pairs + len(head), n_places, n_places + len(fresh)
+        lefts, rights, count, begins, places = (room(x, n) for x, n in ((lefts, n_pairs), (rights, n_pairs), (counts, n_pairs), (begins, n_pairs + 1), (places, n_places)))
+        counts, count = count, count[:n_pairs]
+        lefts[at:n_pairs], rights[at:n_pairs], count[at:] = ranked[head] >> wide, ranked[head] & ((1 << wide) - 1), times
+        begins[at + 1 : n_pairs + 1] = filled + np.cumsum(times)
+        places[filled:n_places] = fresh
+
+        most = int(count.max()) if n_pairs else 0
+        if most < min_count:
+            break
+        hit = np.flatnonzero(count >= max(min_count, most / fall))
+        held = begins[hit + 1] - begins[hit]
+        at = places[runs(begins[hit], held)]
+        at = at[pair[at] == np.repeat(hit, held)]
+        at.sort()
         # Among adjacent hits, every second one from the left is free of overlap.
-        run = np.concatenate([[True], np.diff(at) != 1])
-        head = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
-        free = (np.arange(len(at)) - head) % 2 == 0
-        at, place = at[free], place[free]
-        used, place = np.unique(place, return_inverse=True)
-        made = np.stack([pairs[used] >> 32, pairs[used] & 0xFFFFFFFF], axis=1)
-        seq[at] = len(length) + place
-        last[at] = last[at + 1]
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        seq, last = seq[keep], last[keep]
+        rank = np.arange(len(at))
+        start = np.maximum.accumulate(np.where(np.append(True, after[at[:-1]] != at[1:]), rank, 0))
+        at = at[(rank - start) % 2 == 0]
+        used = np.bincount(pair[at], minlength=n_pairs)
+        # A pair that overlaps left too few of waits for the next round, unless all wait.
+        taken = used >= min_count if (used >= min_count).any() else used > 0
+        at = at[taken[pair[at]]]
+        made = np.stack([lefts[:n_pairs][taken], rights[:n_pairs][taken]], axis=1)
         rules.append(made)
-        length = np.concatenate([length, length[made[:, 0]] + length[made[:, 1]]])
+        symbol = (len(length) + np.cumsum(taken) - 1).astype(np.int32)
+        length = np.append(length, length[made[:, 0]] + length[made[:, 1]])
+        right = after[at]
+        follows = after[right]
+        seq[at], last[at] = symbol[pair[at]], last[right]
+        after[at], before[follows] = follows, at
+        gone[right] = True
+        beside = np.append(at, before[at])
+        beside.sort()
+        beside = beside[np.append(True, beside[1:] != beside[:-1])]
+        changed = np.append(right, beside)
+        lost = pair[changed]
+        count -= np.bincount(lost[lost >= 0], minlength=n_pairs)
+        pair[changed] = -1
+        fresh = beside[~last[beside]]
+    seq, last = seq[:n][~gone].astype(np.int64), last[:n][~gone]
     starts = np.concatenate([[0], np.flatnonzero(last) + 1])
-    table_ = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
+    table_ = np.concatenate(rules).astype(np.int64) if rules else np.zeros((0, 2), np.int64)
     return seq, table_, length[first:], starts
 
 
@@ -171,8 +223,37 @@ class Shard:
             seq[place[at]], seq[place[at] + 1] = pair[:, 0], pair[:, 1]
         return seq.astype(np.uint32)
 
+    @cached_property
+    def expansions(self) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rules in a row, where each rule's begin): rules of equal height are written at once, from lower ones."""
+        start = np.cumsum(self.length) - self.length
+        flat = np.zeros(int(self.length.sum()), np.uint32)
+        left, right = self.rules.T
+        height, known = np.zeros(self.first + len(self.rules), np.int64), None
+        while known is None or (height[self.first :] != known).any():
+            known = height[self.first :].copy()
+            height[self.first :] = 1 + np.maximum(height[left], height[right])
+        for level in range(1, int(height.max(initial=0)) + 1):
+            rows = np.flatnonzero(known == level)
+            for side, place in ((left[rows], start[rows]), (right[rows], start[rows] + self.lengths(left[rows]))):
+                plain = side < self.first
+                flat[place[plain]] = side[plain]
+                rule = side[~plain] - self.first
+                flat[runs(place[~plain], self.length[rule])] = flat[runs(start[rule], self.length[rule])]
+        return flat, start
+
+    def whole(self, seq: np.ndarray) -> np.ndarray:
+        """What expand() gives, for long sequences: each rule is expanded once."""
+        flat, start = self.expansions
+        size = self.lengths(seq)
+        rule = np.flatnonzero(seq >= self.first)
+        out = np.repeat(seq.astype(np.uint32), size)
+        held = seq[rule] - self.first
+        out[runs((np.cumsum(size) - size)[rule], self.length[held])] = flat[runs(start[held], self.length[held])]
+        return out
+
     def all(self) -> np.ndarray:
-        return self.expand(self.seq)
+        return self.whole(self.seq)
 
     def document(self, i: int) -> np.ndarray:
         return self.expand(self.seq[self.starts[i] : self.starts[i + 1]])
@@ -236,10 +317,15 @@ def documents(stored: DataFrame, key: str = "doc_id") -> DataFrame:
             for base, before, keys, blob in zip(*(batch.column(c) for c in ("base", "before", "keys", "payload"))):
                 shard = Shard(blob.as_buffer().to_pybytes())
                 ends = np.cumsum(shard.doc_len)
-                start = ends - shard.doc_len + base.as_py() + before.as_py()
-                offsets_ = pa.array(np.concatenate([[0], ends * 4]), pa.int32())
-                ids = pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, offsets_.buffers()[1], pa.py_buffer(shard.all().astype("<u4").tobytes())])
-                yield pa.RecordBatch.from_arrays([keys.values, pa.array(start, pa.int64()), ids], names=[key, "start", "ids"])
+                start = ends - shard.doc_len
+                at = 0
+                while at < len(ends):  # few shards are longer than one part
+                    stop = max(at + 1, int(np.searchsorted(ends, start[at] + MOST_IDS, "right")))
+                    ids = shard.whole(shard.seq[shard.starts[at] : shard.starts[stop]])
+                    places = pa.array(np.append(0, ends[at:stop] - start[at]) * 4, pa.int32())
+                    ids = pa.BinaryArray.from_buffers(pa.binary(), stop - at, [None, places.buffers()[1], pa.py_buffer(ids.astype("<u4").tobytes())])
+                    yield pa.RecordBatch.from_arrays([keys.values.slice(at, stop - at), pa.array(start[at:stop] + base.as_py() + before.as_py(), pa.int64()), ids], names=[key, "start", "ids"])
+                    at = stop
 
     with_base = stored.join(F.broadcast(offsets), "part").select("base", "before", "keys", "payload")
     return arrow_map(with_base, run, f"{key} {kind}, start bigint, ids binary")
