@@ -96,7 +96,7 @@ def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 def slice_cache(path: str) -> SliceCache:
     """One cache for each worker process and vocabulary."""
     ranks = load_ranks(path)
-    return SliceCache(lambda s: merge_slice(s.encode("utf-8"), ranks))
+    return SliceCache(lambda pieces: [merge_slice(p.encode("utf-8"), ranks) for p in pieces])
 
 
 @lru_cache(2)
@@ -111,48 +111,65 @@ def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(t for t, _ in order), np.uint8), np.cumsum(length) - length, length
 
 
-def encode(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ids array<int>, ends array<int>): ends[i] is the byte offset at which token i ends."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, (_, _, length) = slice_cache(vocabulary), token_bytes(vocabulary)
-        for batch, texts in text_batches(batches, text):
-            ids, count = cache.encode(texts)
-            ends = np.cumsum(length[ids])
+def encode_batches(batches: Iterator[pa.RecordBatch], vocabulary: str, key: str, text: str, keep: tuple[str, ...] = ()) -> Iterator[pa.RecordBatch]:
+    """(key, *keep, ids, ends) of each batch."""
+    cache, (_, _, length) = slice_cache(vocabulary), token_bytes(vocabulary)
+    for batch, texts in text_batches(batches, text):
+        ids, count = cache.encode(texts)
+        ends = np.cumsum(length[ids])
+        bound = np.concatenate([[0], np.cumsum(count)])
+        before = np.concatenate([[0], ends])[bound[:-1]]
+        ends = (ends - np.repeat(before, count)).astype(np.int32)
+        bound = pa.array(bound, pa.int32())
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (key, *keep)), pa.ListArray.from_arrays(bound, pa.array(ids)), pa.ListArray.from_arrays(bound, pa.array(ends))], names=[key, *keep, "ids", "ends"])
+
+
+def decode_batches(batches: Iterator[pa.RecordBatch], vocabulary: str, columns: tuple[str, ...], most_ids: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """(*columns, decoded), in parts of `most_ids` ids at most (one row at least)."""
+    flat, start, length = token_bytes(vocabulary)
+    for batch in batches:
+        held = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(held, (held[at - 1] if at else 0) + most_ids, "right")))
+            part = batch.slice(at, stop - at)
+            at = stop
+            ids = part.column("ids")
+            values = ids.flatten().to_numpy(zero_copy_only=False)
+            count = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            raw = flat[runs(start[values], length[values])]
+            # The last offset of each row is its length in bytes.
             bound = np.concatenate([[0], np.cumsum(count)])
-            before = np.concatenate([[0], ends])[bound[:-1]]
-            ends = (ends - np.repeat(before, count)).astype(np.int32)
-            bound = pa.array(bound, pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(key), pa.ListArray.from_arrays(bound, pa.array(ids)), pa.ListArray.from_arrays(bound, pa.array(ends))], names=[key, "ids", "ends"]
-            )
+            ends = part.column("ends").flatten().to_numpy(zero_copy_only=False)
+            size = np.zeros(len(count), np.int64)
+            size[count > 0] = ends[bound[1:][count > 0] - 1]
+            offsets = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
+            decoded = pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, offsets.buffers()[1], pa.py_buffer(raw.tobytes())])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), decoded], names=[*columns, "decoded"])
+
+
+def _kinds(df: DataFrame, columns: tuple[str, ...]) -> str:
+    return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in columns)
 
-    return arrow_map(df.select(key, text), run, f"{key} {df.schema[key].dataType.simpleString()}, ids array<int>, ends array<int>")
+
+def encode(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, ids array<int>, ends array<int>): ends[i] is the byte offset at which token i ends."""
+    return arrow_map(df.select(key, text), lambda batches: encode_batches(batches, vocabulary, key, text), f"{_kinds(df, (key,))}, ids array<int>, ends array<int>")
 
 
 def decode(df: DataFrame, vocabulary: str, key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, *keep, decoded binary) from the ids and ends of encode(). Null ids count as empty."""
+    columns = (key, *keep)
+    return arrow_map(df.select(*dict.fromkeys([*columns, "ids", "ends"])), lambda batches: decode_batches(batches, vocabulary, columns), f"{_kinds(df, columns)}, decoded binary")
+
+
+def round_trip(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, ids array<int>, decoded binary): decode() over encode(), in one worker process instead of two a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, start, length = token_bytes(vocabulary)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = part.column("ids")
-                values = ids.flatten().to_numpy(zero_copy_only=False)
-                count = np.array([0 if x is None else x for x in pc.list_value_length(ids).to_pylist()], np.int64)
-                raw = flat[runs(start[values], length[values])]
-                # The last offset of each row is its length in bytes.
-                bound = np.concatenate([[0], np.cumsum(count)])
-                ends = part.column("ends").flatten().to_numpy(zero_copy_only=False)
-                size = np.zeros(len(count), np.int64)
-                size[count > 0] = ends[bound[1:][count > 0] - 1]
-                offsets = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
-                decoded = pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, offsets.buffers()[1], pa.py_buffer(raw.tobytes())])
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in (key, *keep)] + [decoded], names=[key, *keep, "decoded"])
-
-    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in (key, *keep))
-    return arrow_map(df.select(*dict.fromkeys([key, *keep, "ids", "ends"])), run, f"{kinds}, decoded binary")
+        return decode_batches(encode_batches(batches, vocabulary, key, text), vocabulary, (key, "ids"))
+
+    return arrow_map(df.select(key, text), run, f"{_kinds(df, (key,))}, ids array<int>, decoded binary")
 
 
 def decode_range(ids: list[int], ends: list[int], start: int, stop: int, vocabulary: str) -> bytes:
@@ -167,10 +184,8 @@ def decode_range(ids: list[int], ends: list[int], start: int, stop: int, vocabul
 
 def digests(df: DataFrame, vocabulary: str, key: str = "doc_id") -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256) from the operator's outputs."""
-    coded = encode(df, vocabulary, key).select(
-        key, "ids", "ends", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256")
-    )
-    return decode(coded, vocabulary, key, ("n_tokens", "ids_sha256")).select(key, "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return round_trip(df, vocabulary, key).select(key, F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def vocabulary_path() -> str:
