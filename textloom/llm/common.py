@@ -6,10 +6,10 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only when the session names no spark.checkpoint.dir (tests, local runs).
+#: Used only by a local session that names no spark.checkpoint.dir (tests).
 LOCAL_SHARED = "file:///tmp/checkpoints"
 
 
@@ -22,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(LOCAL_SHARED)
     return LOCAL_SHARED
 
@@ -50,7 +52,7 @@ class Workspace:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def text_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def text_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 18) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices Arrow batches so that each holds about `limit` characters at most (one row at least).
 
     Null texts become empty ones. The slice bounds the working memory of vectorised steps.
@@ -91,3 +93,20 @@ def lookup_skewed(left: DataFrame, right: DataFrame, key: str, weight: str, how:
     on_hot = marked.filter("_is_hot").drop("_is_hot").join(F.broadcast(hot), key, "inner")
     on_rest = marked.filter("_is_hot is null").drop("_is_hot").join(rest, key, how)
     return on_hot.unionByName(on_rest)
+
+
+SIEVE_BITS = 25
+
+
+def sieved(df: DataFrame, by: Column, wanted: DataFrame, wanted_by: Column) -> DataFrame:
+    """df with `_maybe`: false only where `by` (64-bit hashes) is none of the wanted hashes.
+
+    A bitmap of 2^SIEVE_BITS bits is broadcast in words of 64: half a million rows at most, whatever
+    the data's size. Rows that it rules out need not be shuffled to meet `wanted`; as it fills, it
+    rules out fewer, and a join has the last word either way.
+    """
+    place = lambda h: F.pmod(h, F.lit(1 << SIEVE_BITS))
+    word, bit = (lambda h: F.shiftright(place(h), 6)), (lambda h: (place(h) % 64).cast("int"))
+    bits = wanted.select(word(wanted_by).alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit(wanted_by)).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    marked = df.withColumn("_hash", by).withColumn("_word", word(F.col("_hash"))).join(F.broadcast(bits), "_word", "left")
+    return marked.withColumn("_maybe", F.coalesce(F.bit_get("_bits", bit(F.col("_hash"))) == 1, F.lit(False))).drop("_hash", "_word", "_bits")

@@ -1,23 +1,26 @@
 """N-gram Jaccard join: all pairs of documents whose sets of five-word shingles are alike by 0.8 or more.
 
 1. Each document's shingle set is hashed; documents with equal sets form a class of copies, of which
-   only the representative goes on. MinHash signatures of the representatives are cut into bands; the
-   numbers of bands and rows are chosen for the target recall at the threshold.
-2. Band hashes are shuffled; every bucket with two members or more ties its members to its least one.
-   Documents tied directly or through others form a candidate group, found by label propagation with
-   pointer jumping, all in tables.
-3. A group is dealt into blocks of bounded shingle count, and each pair of blocks is one unit of work:
-   exact intersections of full shingle sets come from one sparse incidence product. No pair is ever a
-   row: a unit returns link counts per document and the few links that connect its documents.
-4. Those connecting links give classes: the least document key of each connected component.
+   only one text goes on as a node. MinHash signatures of the nodes are cut into bands; the numbers of
+   bands and rows are chosen for the target recall at the threshold.
+2. Band hashes are shuffled. Buckets with two nodes or more are kept; every pair of nodes that meets in
+   a bucket is a candidate pair, and no other pair is.
+3. Nodes are dealt into blocks, those with a bucket in common into the same block as far as it has
+   room. A bucket whose nodes stand in several blocks makes each of its nodes meet the others' blocks.
+   A unit of work is a block, or those nodes of two blocks that meet: exact intersections of full
+   shingle sets come from one sparse incidence product. No pair is ever a row: a unit returns link
+   counts per node and the few links that connect its nodes.
+4. Those connecting links give classes: the connected components.
 
 Words are runs of letters and digits of the lower-cased text. A document with one to four words has
 one shingle, all its words. n_links counts the other documents (copies among them) alike by 0.8.
 
+Texts are met by their MD5, never by the key, so keys may be null or repeat.
+
 Defined results: a document without words (null, empty, only marks) has no shingles, links to nothing
 and is its own class; rows that share a key are rows of their own, each with the class of its text; a
-null key is never the least of a class that has another; other columns are not read, so names cannot
-clash; an empty table gives an empty table.
+class is named by its least key, nulls aside (null if it has no other); other columns are not read, so
+names cannot clash; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -31,17 +34,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, arrow_map, lookup_skewed, table, text_batches
+from .common import Workspace, arrow_map, lookup_skewed, sieved, table, text_batches
 
 WORD = re.compile(r"[^\W_]+")
 SHINGLE = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
-#: Shingles of a block: bounds a unit of work at twice this many 64-bit hashes, or two documents.
+#: Shingles and nodes of a block, on average: bounds a unit of work at twice these, or two documents.
 BLOCK = 600_000
-BLOCK_DOCS = 512
-#: Keys of 8 bytes each: some 50 MB as a hash table.
-BROADCAST_KEYS = 2_000_000
+BLOCK_DOCS = 256
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most_hashes: int = 160) -> tuple[int, int]:
@@ -102,18 +103,37 @@ def band_keys(s: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def sketches(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, set_id, n, bands): digest and size of each row's shingle set and its band hashes; without words, no digest and no bands."""
+def sketches(df: DataFrame) -> DataFrame:
+    """(id, text_id, set_id, n, bands): digest and size of each row's shingle set and its band hashes; without words, no digest and no bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_batches(batches, text):
+        for batch, texts in text_batches(batches, "text"):
             sets = [shingles(t) for t in texts]
             ids = [set_digest(s) if len(s) else None for s in sets]
             bands = [band_keys(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(ids, pa.binary()), pa.array(map(len, sets), pa.int32()), pa.array(bands, pa.list_(pa.int64()))], names=[key, "set_id", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_id"), pa.array(ids, pa.binary()), pa.array(map(len, sets), pa.int32()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "text_id", "set_id", "n", "bands"])
         _words.clear()  # workers live on: what a task has cached would add up over the stages of a job
 
-    return arrow_map(df.select(key, text), run, f"{key} {df.schema[key].dataType.simpleString()}, set_id binary, n int, bands array<bigint>")
+    return arrow_map(df.select("id", "text", "text_id"), run, f"id {df.schema['id'].dataType.simpleString()}, text_id binary, set_id binary, n int, bands array<bigint>")
+
+
+def node_sets(df: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, hashes): the shingle set of each wanted node (node, text_id), sorted 64-bit hashes in a row.
+
+    A task sends a node once, however many copies of its text it reads.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[bytes] = set()
+        for batch, texts in text_batches(batches, "text"):
+            found = {n: shingles(t).tobytes() for n, t in zip(batch.column("node").to_pylist(), texts) if n not in sent}
+            sent.update(found)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(found.values(), pa.binary())], names=["node", "hashes"])
+        _words.clear()
+
+    maybe = sieved(df.select("text", "text_id"), F.xxhash64("text_id"), wanted, F.xxhash64("text_id")).filter("_maybe")
+    rows = maybe.join(wanted, "text_id").select("node", "text")
+    return arrow_map(rows, run, "node binary, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes"))
 
 
 def local_forest(ties: DataFrame) -> DataFrame:
@@ -143,25 +163,30 @@ def local_forest(ties: DataFrame) -> DataFrame:
     return arrow_map(ties.select("a", "b").repartition("a"), run, "a binary, b binary")
 
 
-def components(nodes: DataFrame, edges: DataFrame, space: Workspace, label: str) -> DataFrame:
+def components(edges: DataFrame, space: Workspace, label: str) -> DataFrame:
     """(node, root): the least node of each connected component. edges: (a, b).
 
     Every round, a node takes the least root around it, then the root of that root; a round's table
     is written to the shared folder, so lineage stays short and lost executors cost a task at most.
+    Nodes that many others point to are met by broadcast, some 1000 rows at most (lookup_skewed).
     """
     links = space.write(edges.select("a", "b").union(edges.select("b", "a")).distinct(), f"{label}-links")
-    roots = space.write(nodes.select("node", F.col("node").alias("root")), f"{label}-0")
+    degrees = space.write(links.groupBy("b").agg(F.count("*").alias("met")), f"{label}-degrees")
+    roots = space.write(degrees.select(F.col("b").alias("node"), F.col("b").alias("root")), f"{label}-0")
     i = 0
     while True:
-        near = links.join(roots.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("least"))
-        step = roots.join(near, "node", "left").select("node", F.col("root").alias("old"), F.least("root", F.coalesce("least", "root")).alias("mid"))
-        jump = roots.select(F.col("node").alias("mid"), F.col("root").alias("far"))
+        around = degrees.join(roots.withColumnRenamed("node", "b"), "b")
+        near = lookup_skewed(links, around, "b", "met").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("least"))
         i += 1
-        moved = space.write(step.join(jump, "mid", "left").select("node", "old", F.least("mid", F.coalesce("far", "mid")).alias("root")), f"{label}-{i}")
+        step = space.write(roots.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "least").alias("mid")), f"{label}-step-{i}")
+        heads = step.groupBy("mid").agg(F.count("*").alias("met")).join(roots.select(F.col("node").alias("mid"), F.col("root").alias("far")), "mid")
+        moved = space.write(lookup_skewed(step, heads, "mid", "met").select("node", "old", F.least("mid", "far").alias("root")), f"{label}-{i}")
+        space.drop(f"{label}-step-{i}")
         space.drop(f"{label}-{i - 1}")
         roots = moved.select("node", "root")
         if moved.filter("root <> old").isEmpty():
             space.drop(f"{label}-links")
+            space.drop(f"{label}-degrees")
             return roots
 
 
@@ -199,33 +224,29 @@ def alike(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 
 def verify(units: DataFrame) -> DataFrame:
-    """units: (root, low, high, side, node, copies, text) → (node, n, other): n links of node, and `other` a node it is tied to.
+    """units: (low, high, side, node, copies, hashes) → (node, n, other): n links of node, and `other` a node it is tied to.
 
-    A unit's rows come in any order; a unit is two blocks at most. Rows whose text does not have the
-    node's shingle set (another row of the same key) are passed over.
+    A unit's rows come in any order; a unit is two blocks at most.
     """
     out = pa.schema([("node", pa.binary()), ("n", pa.int64()), ("other", pa.binary())])
 
     def run(unit: pa.Table) -> pa.Table:
-        docs: dict[bytes, tuple[int, int, np.ndarray]] = {}
-        for node, copies, side, text in zip(*(unit.column(c).to_pylist() for c in ("node", "copies", "side", "text"))):
-            if node not in docs and set_digest(s := shingles(text)) == node:
-                docs[node] = (side, copies, s)
-        order = sorted(docs, key=lambda d: (docs[d][0], d))
-        n_left = sum(docs[d][0] == 0 for d in order)
+        rows = sorted(zip(*(unit.column(c).to_pylist() for c in ("side", "node", "copies", "hashes"))), key=lambda r: r[:2])
+        order = [r[1] for r in rows]
+        n_left = sum(r[0] == 0 for r in rows)
         crossed = unit.column("low")[0].as_py() != unit.column("high")[0].as_py()
-        if not n_left or crossed and n_left == len(order):
+        if len(rows) < 2 or crossed and n_left in (0, len(rows)):
             return out.empty_table()
         links = np.zeros(len(order), np.int64)
-        root = list(range(len(order)))
+        root, size = list(range(len(order))), [1] * len(order)
 
         def find(i: int) -> int:
             while root[i] != i:
                 root[i] = i = root[root[i]]
             return i
 
-        sets = [docs[d][2] for d in order]
-        weight = np.array([docs[d][1] for d in order], np.int64)
+        sets = [np.frombuffer(r[3], np.uint64) for r in rows]
+        weight = np.array([r[2] for r in rows], np.int64)
         pairs = alike(sets[:n_left], sets[n_left:])
         np.add.at(links, pairs[:, 0], weight[pairs[:, 1]])
         np.add.at(links, pairs[:, 1], weight[pairs[:, 0]])
@@ -233,65 +254,106 @@ def verify(units: DataFrame) -> DataFrame:
         for i, j in pairs.tolist():
             a, b = find(i), find(j)
             if a != b:
-                root[max(a, b)] = min(a, b)
+                # The end in the smaller part goes first, so that few ties begin at one node.
+                if size[a] > size[b]:
+                    (a, i), (b, j) = (b, j), (a, i)
+                root[a] = b
+                size[b] += size[a]
                 ties.append((order[i], 0, order[j]))
         found = [(order[i], int(links[i]), None) for i in np.flatnonzero(links)] + ties
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), out)], schema=out) if found else out.empty_table()
 
-    return units.groupBy("root", "low", "high").applyInArrow(run, "node binary, n long, other binary")
+    return units.groupBy("low", "high").applyInArrow(run, "node binary, n long, other binary")
 
 
-def both_ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def candidate_units(nodes: DataFrame, space: Workspace) -> DataFrame:
+    """(node, low, high, side): which nodes (node, n, bands) meet in which unit; low = high for a block by itself."""
+    buckets = space.write(nodes.select("node", F.posexplode("bands").alias("band", "hash")).select("node", F.xxhash64("band", "hash").alias("bucket")), "buckets")
+    heads = space.write(buckets.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "heads")
+    shared = space.write(lookup_skewed(buckets, heads, "bucket", "size"), "shared")
+    space.drop("buckets")
 
+    # A node's home is the least bucket of the nodes it shares a bucket with, so near copies have one home.
+    own = shared.groupBy("node").agg(F.min("bucket").alias("home"))
+    label = shared.join(own, "node").groupBy("bucket").agg(F.count("*").alias("size"), F.min("home").alias("home"))
+    homes = lookup_skewed(shared, space.write(label, "labels"), "bucket", "size").groupBy("node").agg(F.min("home").alias("home"))
+    homes = space.write(homes.join(nodes.select("node", "n"), "node"), "homes")
 
-def join(df: DataFrame, key: str = "doc_id", text: str = "text", space: Workspace | None = None) -> DataFrame:
-    """(key, class_id, n_links) for every row."""
-    space = space or Workspace(df.sparkSession, "ngram_join")
-    df = df.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    marks = space.write(sketches(df, "id", "text"), "marks")
+    # Enough blocks for each home that none holds over BLOCK shingles or BLOCK_DOCS nodes, on average.
+    sized = homes.groupBy("home").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
+    blocks = sized.select("home", "docs", F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK), F.lit(1)).alias("blocks"))
+    dealt = lookup_skewed(homes.select("node", "home"), space.write(blocks, "blocks"), "home", "docs")
+    dealt = space.write(dealt.select("node", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("block")), "dealt")
+
+    # Where a bucket's nodes stand in several blocks, each of them meets the others' blocks.
+    spans = shared.join(dealt, "node").groupBy("bucket").agg(F.count("*").alias("size"), F.collect_set("block").alias("met")).filter(F.size("met") > 1)
+    met = lookup_skewed(shared, space.write(spans, "spans"), "bucket", "size").groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("met"))).alias("met"))
+    placed = dealt.join(met, "node", "left").select("node", "block", F.explode(F.array_union(F.array("block"), F.coalesce("met", F.array().cast("array<bigint>")))).alias("met"))
+    return placed.select("node", F.least("block", "met").alias("low"), F.greatest("block", "met").alias("high"), (F.col("block") > F.col("met")).cast("int").alias("side"))
 
-    # Classes of copies are nodes, named by the digest of their shingle set; the least key stands for them.
+
+def classify(df: DataFrame, space: Workspace) -> tuple[DataFrame, DataFrame]:
+    """df: (id, text, text_id) → (rows (id, text_id, set_id), sets (set_id, copies, root, class_id, n_links))."""
+    marks = space.write(sketches(df), "marks")
     worded = marks.filter("set_id is not null")
-    nodes = worded.groupBy(F.col("set_id").alias("node")).agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    nodes = worded.groupBy(F.col("set_id").alias("node")).agg(F.min("id").alias("rep"), F.min("text_id").alias("text_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     nodes = space.write(nodes, "nodes")
 
-    buckets = space.write(nodes.select("node", F.posexplode("bands").alias("band", "hash")).select("node", F.xxhash64("band", "hash").alias("bucket")), "buckets")
-    heads = space.write(buckets.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("size")).filter("size > 1"), "heads")
-    ties = lookup_skewed(buckets, heads, "bucket", "size").filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
-    ties = space.write(local_forest(ties), "ties")
-    space.drop("buckets")
-    space.drop("heads")
-    groups = components(both_ends(ties), ties, space, "candidates")
-
-    # Enough blocks for each group that none holds over BLOCK shingles or BLOCK_DOCS documents, on average.
-    members = space.write(groups.join(nodes.select("node", "rep", "copies", "n"), "node"), "members")
-    sized = members.groupBy("root").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
-    blocks = sized.select("root", F.col("docs").alias("weight"), F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK), F.lit(1)).cast("int").alias("blocks"))
-    dealt = lookup_skewed(members.select("node", "rep", "root", "copies"), blocks, "root", "weight").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # A block meets itself and every other one; of two different ones, the lower is the left side.
-    placed = dealt.select("rep", "node", "copies", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("met")).select(
-        "rep", "node", "copies", "root", F.least("block", "met").alias("low"), F.greatest("block", "met").alias("high"), (F.col("block") > F.col("met")).cast("int").alias("side")
-    )
-    wanted = members.select(F.col("rep").alias("id")).distinct()
-    # The keys of candidates go to the texts while they are few; beyond that, texts are shuffled to meet them.
-    wanted = F.broadcast(wanted) if members.count() <= BROADCAST_KEYS else wanted
-    texts = df.join(wanted, "id").groupBy("id", F.xxhash64("text").alias("tie")).agg(F.min("text").alias("text"))
-    units = placed.join(texts.select(F.col("id").alias("rep"), "text"), "rep").select("root", "low", "high", "side", "node", "copies", "text")
+    placed = space.write(candidate_units(nodes, space), "placed")
+    wanted = space.write(nodes.select("node", "text_id").join(placed.filter("low = high").select("node"), "node", "left_semi"), "wanted")
+    sets = space.write(node_sets(df, wanted), "sets")
+    units = placed.join(sets, "node").join(nodes.select("node", "copies"), "node").select("low", "high", "side", "node", "copies", "hashes")
     found = space.write(verify(units), "found")
+    for name in ("heads", "shared", "labels", "homes", "blocks", "dealt", "spans", "placed", "wanted", "sets"):
+        space.drop(name)
 
     counts = found.filter("other is null").groupBy("node").agg(F.sum("n").alias("links"))
     tied = found.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))
-    classes = components(both_ends(tied), tied, space, "classes")
-    least = classes.join(nodes.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("class_id"))
-    named = nodes.select("node", "rep", "copies").join(classes.join(least, "root").select("node", "class_id"), "node", "left").join(counts, "node", "left")
-    named = named.select(F.col("node").alias("set_id"), "copies", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    named = space.write(named, "named")
-    linked = lookup_skewed(worded.select("id", "set_id"), named, "set_id", "copies").select("id", "class_id", "n_links")
-    alone = marks.filter("set_id is null").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    roots = components(local_forest(tied), space, "classes")
+    named = nodes.select("node", "rep", "copies").join(roots, "node", "left").join(counts, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = space.write(named.select("node", "rep", "copies", "root", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "named")
+    least = space.write(named.groupBy("root").agg(F.min("rep").alias("class_id"), F.count("*").alias("nodes")), "least")
+    known = lookup_skewed(named, least, "root", "nodes").select(F.col("node").alias("set_id"), "copies", "root", "class_id", "n_links")
+    return marks.select("id", "text_id", "set_id"), space.write(known, "known")
+
+
+def texts_of(df: DataFrame, key: str, text: str) -> DataFrame:
+    body = F.coalesce(F.col(text), F.lit(""))
+    return df.select(F.col(key).alias("id"), body.alias("text"), F.unhex(F.md5(body)).alias("text_id"))
+
+
+def join(df: DataFrame, key: str = "doc_id", text: str = "text", space: Workspace | None = None) -> DataFrame:
+    """(key, class_id, n_links) for every row."""
+    rows, sets = classify(texts_of(df, key, text), space or Workspace(df.sparkSession, "ngram_join"))
+    linked = lookup_skewed(rows.filter("set_id is not null").select("id", "set_id"), sets, "set_id", "copies").select("id", "class_id", "n_links")
+    alone = rows.filter("set_id is null").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return linked.unionByName(alone).withColumnRenamed("id", key)
 
 
+def representatives(df: DataFrame, key: str = "doc_id", text: str = "text", space: Workspace | None = None) -> DataFrame:
+    """The rows of df without near duplicates: of each class the row of least key (a null counts as the greatest).
+
+    Ties go by the texts' MD5, then by the other columns. Rows without words have no class and all stay.
+    """
+    space = space or Workspace(df.sparkSession, "ngram_join")
+    rows, sets = classify(texts_of(df, key, text), space)
+    classed = lookup_skewed(rows.filter("set_id is not null"), sets, "set_id", "copies").groupBy("root", "id", "text_id").agg(F.count("*").alias("rows"))
+    classed = space.write(classed, "classed")
+    best = classed.groupBy("root").agg(F.count("*").alias("all"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_id")).alias("best"))
+    # What is to be done with some row: pairs of key and text to drop, and those of which one row of many stays.
+    beaten = lookup_skewed(classed, space.write(best.select("root", "all", "best.id", "best.text_id").withColumnsRenamed({"id": "best_id", "text_id": "best_text"}).filter("all > 1"), "best"), "root", "all")
+    beaten = beaten.filter(~(F.col("id").eqNullSafe(F.col("best_id")) & (F.col("text_id") == F.col("best_text")))).select("id", "text_id", F.lit(True).alias("dropped"))
+    twice = classed.filter("rows > 1").select("id", "text_id", F.lit(False).alias("dropped"))
+    touched = space.write(beaten.unionByName(twice).groupBy("id", "text_id").agg(F.max("dropped").alias("dropped")), "touched")
+    touched = touched.select(F.col("id").alias("_id"), F.col("text_id").alias("_text_id"), F.col("dropped").alias("_dropped"))
+
+    body = df.withColumn("_text_id", F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))))
+    marked = sieved(body, F.xxhash64(F.col(key), "_text_id"), touched, F.xxhash64("_id", "_text_id"))
+    met = marked.filter("_maybe").withColumnRenamed("_text_id", "_own").join(touched, F.col(key).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_text_id")), "left")
+    one = met.filter("_dropped = false").groupBy("_id", "_text_id").agg(F.min(F.struct(*df.columns)).alias("_row")).select("_row.*")
+    return marked.filter("not _maybe").select(*df.columns).unionByName(met.filter("_dropped is null").select(*df.columns)).unionByName(one)
+
+
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))
 
