@@ -1,24 +1,27 @@
 """Document fingerprints from Lempel-Ziv phrases.
 
-A text is split into symbols (pieces of words and of marks); an LZ78 parse extends the current
+A text is split into symbols: words of up to 12 characters, single marks, and the single characters of
+longer words and of unspaced text, so that an insertion never shifts the symbols after it. An LZ78 parse extends the current
 phrase by a symbol while that phrase is in the dictionary and adds it when it is not. The set of
 phrase hashes is the document's dictionary; its minimum-hash signature is the fingerprint. Texts
 that compress alike share phrases, and the share of equal signature slots estimates how many.
 
-next_pairs() pairs each document with the next one by ascending key. Keys are cut into ranges at
-sampled quantiles; the first document of a range is also sent to the range before it, so each range
-is worked off alone, in one sorted pass that holds two documents at a time.
+next_pairs() pairs each document with the next one by ascending key. Keys, ties with text hashes, are
+cut into ranges at quantiles of a bounded sample; the first document of a range is also sent to the
+range before it, so each range is worked off alone, in one sorted pass that holds two documents at a
+time. A key that many rows share is split by text; only rows equal in key and text stay together.
 
 Defined results: null text counts as empty; texts without symbols share the fingerprint of the empty
 set; ties of keys are ordered by text hash, then text; null keys come first; the document after the
 last is the first (a lone document follows itself); other columns are not read; an empty table gives
-an empty table.
+an empty table. Keys may be of any type that Spark and Python order alike (numbers, strings, dates).
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +33,9 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-SYMBOL = re.compile(r"\w{1,12}|[^\w\s]{1,12}")
+SYMBOL = re.compile(r"\b\w{1,12}\b|\S")
 SLOTS = 128
+SAMPLED = 20  # documents a range whose keys are sampled
 MASK = (1 << 64) - 1
 MULTIPLIER = 0x9E3779B97F4A7C15
 
@@ -100,22 +104,23 @@ def edited(text: str, following: str) -> str:
 def next_pairs(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)."""
     spark = df.sparkSession
-    rows = df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    rows = df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("_tie", F.xxhash64("_text"))
     n_ranges = int(spark.conf.get("spark.sql.shuffle.partitions")) * 4
-    shares = [i / n_ranges for i in range(1, n_ranges)]
-    cuts = rows.select(F.percentile_approx(key, shares, 10 * n_ranges).alias("q")).first()["q"] or []
-    cuts = sorted(set(cuts))
-    ranged = rows.withColumn("_range", _range_of(cuts)(F.coalesce(key, F.lit(cuts[0]))) if cuts else F.lit(0))
-    ranged = ranged.withColumn("_range", F.when(F.col(key).isNull(), F.lit(0)).otherwise(F.col("_range")))
-    # One row a range: its first key. The range before it, among those with rows, borrows that
-    # document; the first range lends to the last. There are as many heads as ranges, at any size.
-    heads = {r["_range"]: r["k"] for r in ranged.groupBy("_range").agg(F.min(F.struct(F.col(key).isNotNull(), F.col(key))).getField(key).alias("k")).collect()}
+    share = min(1.0, SAMPLED * n_ranges / max(1, rows.count()))
+    sample = rows.filter(F.pmod(F.xxhash64(key, "_tie"), F.lit(1 << 62)) < F.lit(int(share * (1 << 62)))).select(key, "_tie").collect()
+    order = sorted(map(_place, *zip(*sample))) if sample else []
+    cuts = sorted({order[len(order) * i // n_ranges] for i in range(1, n_ranges)}) if order else []
+    ranged = rows.withColumn("_range", _range_of(cuts)(F.col(key).isNotNull(), key, "_tie") if cuts else F.lit(0))
+    # One row a range: its first document's key and text hash. The range before it, among those with
+    # rows, borrows that document; the first range lends to the last. As many as ranges, at any size.
+    heads = {r["_range"]: r["h"] for r in ranged.groupBy("_range").agg(F.min(F.struct(F.col(key).isNotNull(), F.col(key), "_tie")).alias("h")).collect()}
     order = sorted(heads)
     kind = df.schema[key].dataType.simpleString()
-    lenders = spark.createDataFrame([(r, heads[r], order[i - 1]) for i, r in enumerate(order)], f"_range int, _head {kind}, _to int")
-    lent = ranged.join(F.broadcast(lenders), "_range").filter(F.col(key).eqNullSafe(F.col("_head"))).select(key, "_text", F.col("_to").alias("_range"), F.lit(1).alias("_lent"))
+    lenders = spark.createDataFrame([(r, heads[r][1], heads[r][2], order[i - 1]) for i, r in enumerate(order)], f"_range int, _head {kind}, _head_tie bigint, _to int")
+    lent = ranged.join(F.broadcast(lenders), "_range").filter(F.col(key).eqNullSafe(F.col("_head")) & (F.col("_tie") == F.col("_head_tie")))
+    lent = lent.groupBy("_to").agg(F.min("_head").alias(key), F.min("_tie").alias("_tie"), F.min("_text").alias("_text")).select(key, "_text", "_tie", F.col("_to").alias("_range"), F.lit(1).alias("_lent"))
     both = ranged.withColumn("_lent", F.lit(0)).unionByName(lent)
-    placed = both.repartition(n_ranges, "_range").sortWithinPartitions("_range", "_lent", key, F.xxhash64("_text"), "_text")
+    placed = both.repartition(n_ranges, "_range").sortWithinPartitions("_range", "_lent", key, "_tie", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = None
@@ -143,9 +148,14 @@ def next_pairs(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return placed.select("_range", key, "_text", "_lent").mapInArrow(run, _schema(df, key))
 
 
-def _range_of(cuts: list):
-    def find(keys):
-        return pd.Series(np.searchsorted(np.asarray(cuts), keys.to_numpy(), "right"), dtype="int32")
+def _place(key, tie: int) -> tuple:
+    """A document's place in the order: null keys first."""
+    return (key is not None, 0 if key is None else key, tie)
+
+
+def _range_of(cuts: list[tuple]):
+    def find(known: pd.Series, keys: pd.Series, ties: pd.Series) -> pd.Series:
+        return pd.Series([bisect_right(cuts, _place(k if has else None, t)) for has, k, t in zip(known.tolist(), keys.tolist(), ties.tolist())], dtype="int32")
 
     return F.pandas_udf(find, "int")
 
