@@ -18,48 +18,32 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_SCORE = 0.4
 
 
-#: Rows of an Arrow batch: whole texts pass through Python workers, which share an executor's memory with the JVM.
-BATCH_ROWS = "2000"
-
-
-def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-
-
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents whose language can't be told: no letters, or two languages about as likely."""
-    small_batches(spark)
     model = language_id.fit(docs)
     said = language_id.identify(docs, model, keep=COLUMNS[1:])
     return said.filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least key of each class; documents that link to none stay."""
-    small_batches(spark)
-    docs = docs.select(*COLUMNS)
-    classes = ngram_join.join(docs)
-    kept = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
-    # Rows that repeat a key are copies or different texts of one document: the least text stands for it.
-    found = docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept"))).drop("_kept")
-    return found.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("d")).select("doc_id", "d.*")
+    """Keeps one row of each class: the one of least key (no key counts as the greatest), then of least text.
+
+    Classes are of texts, not of keys: different texts that share a key, or have none, all stay.
+    Without words a document has no class and stays, as often as it is there.
+    """
+    return ngram_join.representatives(docs.select(*COLUMNS))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes documents as often as the mix says: dropped, once or twice (a repeat is a row of its own)."""
-    docs = docs.select(*COLUMNS)
-    passes = mixing.mix(docs).filter("passes > 0").select(F.col("doc_id").alias("_taken"), "passes")
-    taken = docs.join(passes, F.col("doc_id").eqNullSafe(F.col("_taken")))
-    return taken.select(*COLUMNS, F.explode(F.sequence(F.lit(1), "passes")).alias("_pass")).select(*COLUMNS)
+    mixed = mixing.mix(docs, keep=("text", "lang", "n_chars")).filter("passes > 0")
+    return mixed.select(*COLUMNS, F.explode(F.sequence(F.lit(1), "passes")).alias("_pass")).select(*COLUMNS)
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, with the digests of ids and of the bytes they decode to."""
-    small_batches(spark)
-    vocabulary = bpe.vocabulary_path()
-    coded = bpe.encode(docs, vocabulary)
-    checked = bpe.decode(coded, vocabulary, keep=("ids",))
-    return checked.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = bpe.round_trip(docs, bpe.vocabulary_path())
+    return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [("language_id", language_stage), ("ngram_near_duplicates", near_duplicate_stage), ("source_mixing", mixing_stage), ("bpe_encoding", encode_stage)]
