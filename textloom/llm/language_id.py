@@ -4,9 +4,11 @@ The model holds, per language, log frequencies of words and of character n-grams
 types and tokens. A document is scored word by word: a known word by its own log frequencies; an
 unseen one by those of its longest known n-grams. The best total wins.
 
-The model is fitted on a bounded sample of the labelled rows: about `sample_docs` documents, picked
-by a hash of their key so that reruns agree, of which each language keeps its `max_words` most
-frequent words and `max_grams` n-grams. Prediction reads every row whole.
+The model is fitted on a bounded sample of the labelled rows: about `docs_per_language` documents of
+each language, picked by a hash of their key so that reruns agree (all of a language that has fewer),
+of which each language keeps its `max_words` most frequent words and `max_grams` n-grams. Where the
+limit falls among words about as frequent, a hash picks as many as there is room for. The model has a
+column for each language; there may be some hundreds. Prediction reads every row whole.
 
 Defined results: null text or text without a letter is `und` with score 0; so is every row where
 nothing could be learned. Ties between languages go to the first by code point. Only key, text and
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_map, table, text_batches
@@ -37,25 +39,61 @@ def labelled(df: DataFrame, key: str, label: str) -> DataFrame:
     return df.filter(F.col(label).isNotNull() & (F.crc32(F.col(key).cast("string").cast("binary")) % 5 != 0))
 
 
-def _top(df: DataFrame, what: str, most: int) -> DataFrame:
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), what)
-    total = Window.partitionBy("lang")
-    return df.withColumn("total", F.sum("n").over(total)).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most).select("lang", what, (F.col("n") / F.col("total")).alias("f"))
-
-
-def fit(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", sample_docs: int = 20_000, max_words: int = 30_000, max_grams: int = 30_000) -> "Model":
-    rows = labelled(df.select(key, text, label), key, label)
-    n = rows.count()
-    share = min(1.0, sample_docs / n) if n else 1.0
-    sample = rows.filter(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1_000_000)) < int(share * 1_000_000))
-    words = sample.select(F.col(label).alias("lang"), F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), 0)).alias("word"))
+#: Hashes are compared as shares of this many values, so that a share of 1e-15 still picks rows.
+WHOLE = 1 << 62
+STEPS = 64  # frequency classes for each doubling
+
+
+def _below(share: Column, hashed: Column) -> Column:
+    """True for that share of hashes."""
+    return (share >= 1) | (F.pmod(hashed, F.lit(WHOLE)) < (share * float(WHOLE)).cast("bigint"))
+
+
+def _by_language(values: dict[str, float]) -> Column:
+    """The value of the row's language; few languages, so a literal."""
+    pairs = [F.lit(x) for lang, value in values.items() for x in (lang, float(value))]
+    return F.element_at(F.create_map(*pairs), F.col("lang"))
+
+
+def _top(df: DataFrame, what: str, most: int) -> list[tuple[str, str, float]]:
+    """(lang, word or n-gram, share of the language's total) of about the `most` most frequent of each language.
+
+    No language is sorted in one task: counts by frequency class (some thousands a language) say from
+    which class on all are taken, and which share of the next class.
+    """
+    level = F.floor(F.log2("n") * STEPS)
+    classes = df.groupBy("lang", level.alias("level")).agg(F.count("*").alias("rows"), F.sum("n").alias("n")).collect()
+    total: dict[str, float] = {}
+    cut: dict[str, float] = {}
+    share: dict[str, float] = {}
+    held: dict[str, int] = {}
+    for r in sorted(classes, key=lambda r: -r["level"]):
+        lang = r["lang"]
+        total[lang] = total.get(lang, 0) + r["n"]
+        before = held.get(lang, 0)
+        held[lang] = before + r["rows"]
+        if before < most:
+            cut[lang], share[lang] = r["level"], (most - before) / r["rows"]
+    if not classes:
+        return []
+    kept = (level > _by_language(cut)) | (level == _by_language(cut)) & _below(_by_language(share), F.xxhash64(what))
+    return [(r["lang"], r[what], r["n"] / total[r["lang"]]) for r in df.filter(kept).select("lang", what, "n").collect()]
+
+
+def fit(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", docs_per_language: int = 5_000, max_words: int = 30_000, max_grams: int = 30_000) -> "Model":
+    rows = labelled(df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(label).alias("lang")), "key", "lang")
+    shares = {r["lang"]: docs_per_language / r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not shares:
+        return Model.make([], [])
+    sample = rows.filter(_below(_by_language(shares), F.xxhash64(F.col("key").cast("string"))))
+    words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0)).alias("word"))
     words = words.groupBy("lang", "word").agg(F.count("*").alias("n")).persist()
     try:
         padded = F.concat(F.lit("<"), "word", F.lit(">"))
         grams = F.flatten(F.array(*(F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - (k - 1), F.lit(1))), lambda i, k=k: F.substr(padded, i, F.lit(k))) for k in GRAM_SIZES)))
         # Tokens weigh by the square root of their word's count, so that frequent words do not drown the rest.
-        gram = words.select("lang", F.explode(grams).alias("gram"), F.sqrt("n").alias("n")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-        return Model.make(_top(words, "word", max_words).collect(), _top(gram, "gram", max_grams).collect())
+        gram = words.select("lang", F.explode(grams).alias("gram"), F.sqrt("n").alias("n")).groupBy("lang", "gram").agg(F.round(F.sum("n"), 6).alias("n"))  # rounded: sums in another order agree
+        return Model.make(_top(words, "word", max_words), _top(gram, "gram", max_grams))
     finally:
         words.unpersist()
 
@@ -68,20 +106,21 @@ class Model:
         self.reset()
 
     @staticmethod
-    def make(words, grams) -> "Model":
-        langs = sorted({r["lang"] for r in words})
+    def make(words: list[tuple[str, str, float]], grams: list[tuple[str, str, float]]) -> "Model":
+        """From (lang, word or n-gram, frequency)."""
+        langs = sorted({lang for lang, _, _ in words})
         column = {lang: i for i, lang in enumerate(langs)}
 
-        def matrix(rows, what: str) -> tuple[dict[str, int], np.ndarray]:
+        def matrix(rows) -> tuple[dict[str, int], np.ndarray]:
             index: dict[str, int] = {}
-            for r in rows:
-                index.setdefault(r[what], len(index))
+            for _, what, _ in rows:
+                index.setdefault(what, len(index))
             f = np.zeros((len(index), len(langs)))
-            for r in rows:
-                f[index[r[what]], column[r["lang"]]] = r["f"]
+            for lang, what, share in rows:
+                f[index[what], column[lang]] = share
             return index, np.log(f + FLOOR).astype(np.float32)
 
-        return Model(langs, *matrix(words, "word"), *matrix(grams, "gram"))
+        return Model(langs, *matrix(words), *matrix(grams))
 
     def reset(self, most: int = 60_000) -> None:
         self.seen: dict[str, int] = {}
