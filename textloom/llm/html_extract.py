@@ -133,10 +133,14 @@ class PageMaker:
     def boiler(self, kind: str) -> str:
         r, label = self.r, "0"
         if kind == "nav":
+            if r.random() < 0.2:
+                return f"<div class={self.dull()} data-label=\"0\">" + r.choice([" ", " | ", ""]).join(f'<a href="/{self.words(1, 1)}">{self.words(1, 2)}</a>' for _ in range(r.randint(2, 9))) + "</div>"
             return r.choice([f"<nav{self.attrs('', '', 'nav', 'main-nav', label=label)}><ul>{self.links(r.randint(2, 9))}</ul></nav>", f"<ul{self.attrs('menu', 'navigation', 'nav-list', 'breadcrumb', label=label)}>{self.links(r.randint(2, 9))}</ul>", f"<div{self.attrs('menu', 'navbar', 'top', label=label)}>" + " | ".join(f'<a href="#">{self.words(1, 2)}</a>' for _ in range(r.randint(2, 8))) + "</div>"])
         if kind == "header":
             return f"<header{self.attrs('', '', 'site-header', 'masthead', label=label)}><div{self.attrs('', 'logo', 'brand')}>{self.words(1, 4)}</div>{r.choice(['', f'<p>{self.words(2, 8)}</p>', f'<h1>{self.words(1, 3)}</h1>'])}</header>"
         if kind == "footer":
+            if r.random() < 0.2:
+                return f"<div class={self.dull()} data-label=\"0\">{r.choice(['&copy; ', 'Copyright &copy; '])}{r.randint(1990, 2030)} {self.words(1, 3)}. {r.choice(['', self.sentence()])}</div>"
             return r.choice([f"<footer{self.attrs('', '', 'site-footer', label=label)}>&copy; {self.words(1, 2)} &middot; {self.prose(1, 2)}</footer>", f"<div{self.attrs('footer', 'copyright', 'page-footer', 'legal', label=label)}><p>&copy; {self.prose(1, 2)}</p><p>{self.words(2, 8)}</p></div>", f"<footer{self.attrs('', label=label)}><ul>{self.links(3)}</ul><p>{self.sentence()}</p></footer>"])
         if kind == "sidebar":
             tag = r.choice(["aside", "div"])
@@ -152,9 +156,22 @@ class PageMaker:
             return f"<{(t := r.choice(['ul', 'div']))}{self.attrs('share', 'social-links', 'share-buttons', label=label)}>" + (self.links(3) if t == "ul" else " ".join(f'<a href="#">{self.words(1, 1)}</a>' for _ in range(3))) + f"</{t}>"
         if kind == "related":
             return f"<{(t := r.choice(['div', 'section', 'aside']))}{self.attrs('related', 'related-posts', 'recommended', 'read-more', label=label)}><h3>{self.words(1, 3)}</h3><ul>{self.links(r.randint(2, 6))}</ul></{t}>"
-        one = lambda: f"<{(t := r.choice(['li', 'div', 'article']))}{self.attrs('comment', 'comment-body', 'reply')}><p>{r.choice(['', f'<b>{self.words(1, 2)}</b> '])}{self.prose(1, 4)}</p></{t}>"
-        many = "".join(one() for _ in range(r.randint(1, 6)))
-        return f"<{(t := r.choice(['section', 'div', 'ol']))}{self.attrs('comments', 'comment-list', 'reader-comments', 'responses comments', 'discussion comments', label=label)}><h3>{self.words(1, 2)}</h3>{many}</{t}>"
+        if r.random() < 0.5:
+            one = lambda: f"<{(t := r.choice(['li', 'div', 'article']))}{self.attrs('comment', 'comment-body', 'reply')}><p>{r.choice(['', f'<b>{self.words(1, 2)}</b> '])}{self.prose(1, 4)}</p></{t}>"
+            many = "".join(one() for _ in range(r.randint(1, 6)))
+            return f"<{(t := r.choice(['section', 'div', 'ol']))}{self.attrs('comments', 'comment-list', 'reader-comments', 'responses comments', 'discussion comments', label=label)}><h3>{self.words(1, 2)}</h3>{many}</{t}>"
+        # Threads whose names say nothing: like entries in a row, each with a name, often a date, and a few words.
+        tag, inner, name = r.choice(["li", "div", "div", "section"]), r.choice(["p", "div", ""]), r.choice(["", self.dull(), self.dull()])
+        date = r.choice(["", f"<i>{r.randint(1, 28)} {self.words(1, 1)}</i> ", f"<span>{r.randint(1, 28)}.{r.randint(1, 12)}.</span> ", f"<time>{r.randint(1, 12)} h</time> "])
+        entry = lambda: f"<b>{self.words(1, 2)}</b> {date}{self.prose(1, 3)}{r.choice(['', f' <a href=#>{self.words(1, 1)}</a>'])}"
+        wrap = lambda x: f"<{tag}{f' class={name}' if name else ''}>{f'<{inner}>{x}</{inner}>' if inner else x}</{tag}>"
+        many = "".join(wrap(entry()) for _ in range(r.randint(2, 9)))
+        t = "ol" if tag == "li" else r.choice(["div", "section", "div"])
+        return f"<{t} class={self.dull()} data-label=\"0\">{r.choice(['', f'<h3>{self.words(1, 3)}</h3>'])}{many}</{t}>"
+
+    def dull(self) -> str:
+        """A class name without a meaning."""
+        return self.r.choice([f"c{self.r.randint(1, 40)}", self.r.choice(self.parts), f"{self.r.choice('uxqz')}-{self.r.choice(self.parts)}", "wrap", "box", "thread", "item"])
 
     def block(self) -> str:
         r = self.r
@@ -186,6 +203,8 @@ class PageMaker:
         blocks = [self.block() for _ in range(r.choice([1, 1, 2, 4, 8, 14]))]
         if r.random() < 0.8:
             blocks.insert(0, f"<h1>{self.words(1, 12)}</h1>")
+        if r.random() < 0.12:  # stubs: a title, or a few words more
+            blocks = [f"<h1>{(title := self.words(1, 9))}</h1>", r.choice(["", f"<p>{title}</p>", f"<p><b>{title}<br>", f"<p>{self.words(1, 6)}.</p>"])]
         for kind in ("ad", "share", "related", "form", "notice", "sidebar"):
             if r.random() < 0.12:
                 blocks.insert(r.randint(1, len(blocks)), self.boiler(kind))
@@ -218,7 +237,7 @@ def labels_of(nodes: list[Node]) -> np.ndarray:
 
 
 @lru_cache(2)
-def model(training_pages: int = 500, seed: int = 5) -> "Boosted":
+def model(training_pages: int = 1200, seed: int = 5) -> "Boosted":
     maker = PageMaker(seed)
     read_ = [read(maker.page())[0] for _ in range(training_pages)]
     return Boosted().fit(np.concatenate([features(n) for n in read_]), np.concatenate([labels_of(n) for n in read_]).astype(np.float64))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 
@@ -16,6 +17,7 @@ MARKS = re.compile(r"[.,;:!?…。、]")
 # Element kinds of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe object svg math canvas textarea title".split())
+RAW_TEXT = frozenset("script style textarea title iframe".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby s samp small span strike strong sub sup time tt u var".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"tr", "td", "th", "thead"}, "tfoot": {"tr", "td", "th", "tbody"}}
@@ -30,18 +32,18 @@ UNWANTED = frozenset(
 WANTED = frozenset("article content main post entry story body text blog page copy prose markdown".split())
 FLAGS = ("ad", "nav", "menu", "footer", "header", "sidebar", "comment", "cookie", "notice", "share", "related", "newsletter", "hidden", "article", "content", "post", "main")
 #: Different words for one thing.
-ALIKE = {"ads": "ad", "advert": "ad", "advertisement": "ad", "banner": "ad", "sponsor": "ad", "sponsored": "ad", "promo": "ad", "promotion": "ad", "navigation": "nav", "navbar": "nav", "breadcrumb": "nav", "breadcrumbs": "nav", "side": "sidebar", "rail": "sidebar", "widget": "sidebar", "comments": "comment", "reply": "comment", "replies": "comment", "respond": "comment", "disqus": "comment", "consent": "cookie", "gdpr": "cookie", "alert": "notice", "popup": "notice", "modal": "notice", "overlay": "notice", "sharing": "share", "social": "share", "recommended": "related", "more": "related", "subscribe": "newsletter", "signup": "newsletter", "entry": "post", "story": "post", "blog": "post", "body": "content", "text": "content", "copy": "content", "prose": "content"}
+ALIKE = {"ads": "ad", "advert": "ad", "advertisement": "ad", "banner": "ad", "sponsor": "ad", "sponsored": "ad", "promo": "ad", "promotion": "ad", "navigation": "nav", "navbar": "nav", "breadcrumb": "nav", "breadcrumbs": "nav", "side": "sidebar", "rail": "sidebar", "widget": "sidebar", "comments": "comment", "cmt": "comment", "cmts": "comment", "reply": "comment", "replies": "comment", "respond": "comment", "disqus": "comment", "consent": "cookie", "gdpr": "cookie", "alert": "notice", "popup": "notice", "modal": "notice", "overlay": "notice", "sharing": "share", "social": "share", "recommended": "related", "more": "related", "subscribe": "newsletter", "signup": "newsletter", "entry": "post", "story": "post", "blog": "post", "body": "content", "text": "content", "copy": "content", "prose": "content"}
 KINDS = ("p", "h", "list", "li", "table", "article", "section", "div", "nav", "header", "footer", "aside", "form", "figure", "quote", "body")
 KIND_OF = {"p": "p", "ul": "list", "ol": "list", "dl": "list", "li": "li", "dt": "li", "dd": "li", "table": "table", "tbody": "table", "thead": "table", "tr": "table", "td": "table", "th": "table", "caption": "table", "article": "article", "main": "article", "section": "section", "div": "div", "center": "div", "nav": "nav", "menu": "nav", "header": "header", "hgroup": "header", "footer": "footer", "aside": "aside", "form": "form", "fieldset": "form", "button": "form", "select": "form", "dialog": "form", "figure": "figure", "figcaption": "figure", "blockquote": "quote", "pre": "quote", "address": "footer", "html": "body", "body": "body", **{f"h{i}": "h" for i in range(1, 7)}}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "tokens", "text", "link", "marks", "words", "own", "size", "start", "depth", "mark")
+    __slots__ = ("tag", "parent", "children", "tokens", "text", "link", "marks", "words", "own", "size", "start", "depth", "mark", "inline", "legal")
 
     def __init__(self, tag: str, parent: int, tokens: frozenset, depth: int, start: int, mark: str = ""):
         self.tag, self.parent, self.tokens, self.depth, self.start, self.mark = tag, parent, tokens, depth, start, mark
         self.children: list[int] = []
-        self.text = self.link = self.marks = self.words = self.own = 0
+        self.text = self.link = self.marks = self.words = self.own = self.inline = self.legal = 0
         self.size = 1
 
 
@@ -67,6 +69,7 @@ def read(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     stack: list[tuple[str, int]] = [("html", 0)]  # inline elements stand for the node around them
     piece: list[str] = []
     links = seen = at = 0
+    open_ = Counter()  # how many of each tag are open
 
     def flush() -> None:
         nonlocal seen
@@ -78,6 +81,7 @@ def read(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 node.own += len(text)
                 node.words += text.count(" ") + 1
                 node.marks += len(MARKS.findall(text))
+                node.legal += "©" in text
                 seen += len(text)
                 runs.append((stack[-1][1], text))
 
@@ -85,6 +89,7 @@ def read(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         nonlocal links
         if any(t not in INLINE for t, _ in stack[i:]):
             flush()
+        open_.subtract(t for t, _ in stack[i:])
         links -= sum(t == "a" for t, _ in stack[i:])
         del stack[i:]
 
@@ -101,6 +106,8 @@ def read(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if not tag:
             continue
         if m[1] or m[4]:
+            if not open_[tag]:
+                continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == tag:
                     pop_to(i)
@@ -112,7 +119,8 @@ def read(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if tag in RAW or tag == "head":
             if not attributes.endswith("/"):
                 end = re.compile(rf"</{tag}\s*>" if tag != "head" else r"</head\s*>|(?=<body)", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                # What is left open takes the rest of the page only if it holds no markup.
+                at = end.end() if end else len(page) if tag in RAW_TEXT else at
             if tag != "title":
                 piece.append(" ")
             continue
@@ -128,6 +136,8 @@ def read(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             continue
         if tag in INLINE:
             stack.append((tag, stack[-1][1]))
+            open_[tag] += 1
+            nodes[stack[-1][1]].inline += 1
             links += tag == "a"
             continue
         if tag in CLOSES_P:
@@ -152,6 +162,7 @@ def read(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         nodes.append(Node(tag, parent, tokens, nodes[parent].depth + 1, seen, label))
         nodes[parent].children.append(len(nodes) - 1)
         stack.append((tag, len(nodes) - 1))
+        open_[tag] += 1
     if at < len(page):
         piece.append(page[at:])
     flush()
@@ -159,12 +170,12 @@ def read(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         node.text += node.own
         if node.parent >= 0:
             up = nodes[node.parent]
-            for field in ("text", "link", "marks", "words", "size"):
+            for field in ("text", "link", "marks", "words", "size", "inline", "legal"):
                 setattr(up, field, getattr(up, field) + getattr(node, field))
     return nodes, runs
 
 
-N_FEATURES = len(KINDS) + 2 * len(FLAGS) + 22
+N_FEATURES = len(KINDS) + 2 * len(FLAGS) + 26
 
 
 def features(nodes: list[Node]) -> np.ndarray:
@@ -173,6 +184,19 @@ def features(nodes: list[Node]) -> np.ndarray:
     out = np.zeros((len(nodes), N_FEATURES), np.float32)
     above: list[frozenset] = []
     kinds_above: list[frozenset] = []
+    # One pass over each parent's children: place, neighbours' text, average text, how many have which tag.
+    place, before, after = ([0] * len(nodes) for _ in range(3))
+    looks = [0.0] * len(nodes)  # share of the siblings of the same tag and attribute words
+    average, tags = [total / 100.0] * len(nodes), [Counter()] * len(nodes)
+    for p, n in enumerate(nodes):
+        average[p] = sum(nodes[c].text for c in n.children) / max(1, len(n.children)) / 100
+        tags[p] = Counter(nodes[c].tag for c in n.children)
+        seen = Counter((nodes[c].tag, nodes[c].tokens) for c in n.children)
+        for k, c in enumerate(n.children):
+            looks[c] = seen[nodes[c].tag, nodes[c].tokens] / len(n.children)
+            place[c] = k
+            before[c] = nodes[n.children[k - 1]].text if k else 0
+            after[c] = nodes[n.children[k + 1]].text if k + 1 < len(n.children) else 0
     for i, n in enumerate(nodes):
         kind = KIND_OF.get(n.tag, "div")
         up = above[n.parent] if n.parent >= 0 else frozenset()
@@ -185,15 +209,14 @@ def features(nodes: list[Node]) -> np.ndarray:
         for f in FLAGS:
             row[k], row[k + 1] = f in n.tokens, f in up
             k += 2
-        siblings = nodes[n.parent].children if n.parent >= 0 else [i]
-        place = siblings.index(i) if len(siblings) < 64 else 64
-        around = [nodes[s] for s in (siblings if len(siblings) < 64 else siblings[:64])]
-        before = nodes[siblings[place - 1]].text if 0 < place < 64 else 0
-        after = nodes[siblings[place + 1]].text if place + 1 < len(siblings) and place < 63 else 0
+        n_siblings = len(nodes[n.parent].children) if n.parent >= 0 else 1
+        alike = tags[n.parent][n.tag] / n_siblings if n.parent >= 0 else 1.0
+        around = average[n.parent] if n.parent >= 0 else total / 100
         parent_text = max(1, nodes[n.parent].text) if n.parent >= 0 else total
         row[k:] = (
             np.log1p(n.text), n.link / max(1, n.text), n.text / n.size, n.marks / max(1, n.words), np.log1p(n.words / n.size), n.own / max(1, n.text), n.depth, np.log1p(n.size),
-            n.text / total, n.start / total, n.text / parent_text, len(siblings), place / len(siblings), sum(s.tag == n.tag for s in around) / len(around), sum(s.text for s in around) / len(around) / 100,
-            np.log1p(before), np.log1p(after), bool(n.tokens & UNWANTED), bool(up & UNWANTED), bool(n.tokens & WANTED), bool(up & WANTED), 2 * bool(kinds_up & {"nav", "header", "footer", "aside", "form"}) + ("article" in kinds_up),
+            n.text / total, n.start / total, n.text / parent_text, n_siblings, place[i] / n_siblings, alike, around,
+            np.log1p(before[i]), np.log1p(after[i]), bool(n.tokens & UNWANTED), bool(up & UNWANTED), bool(n.tokens & WANTED), bool(up & WANTED), 2 * bool(kinds_up & {"nav", "header", "footer", "aside", "form"}) + ("article" in kinds_up),
+            looks[i], n.inline / max(1, n.words), n.legal > 0, len(n.children),
         )
     return out
