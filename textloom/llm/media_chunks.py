@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -152,7 +153,10 @@ def bit_set(bitmap: bytes, bit: int) -> bool:
 
 
 def store(df: DataFrame, key: str = "doc_id", text: str = "text", space: Workspace | None = None) -> tuple[DataFrame, DataFrame]:
-    """Writes (files, shared chunks). files: key, media, n_bytes, chunks (digest, bytes; no bytes where shared), whole."""
+    """Writes (files, shared chunks). files: key, media, n_bytes, chunks (digest, bytes; no bytes where shared), whole.
+
+    Shared chunks: digest, bytes, and how often rows use them. A chunk that very many files use is met by broadcast.
+    """
     spark = df.sparkSession
     space = space or Workspace(spark, "media")
     df = df.select(key, text)
@@ -175,12 +179,18 @@ def store(df: DataFrame, key: str = "doc_id", text: str = "text", space: Workspa
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bitmap.value
         for _, texts in text_batches(batches, text):
-            got = {d: c for t in texts for c in chunks(wav(payload(t))) if bit_set(bits, bit_of(d := digest(c)))}
-            yield pa.RecordBatch.from_arrays([pa.array(got, pa.binary()), pa.array(got.values(), pa.binary())], names=["digest", "bytes"])
+            got: dict[bytes, bytes] = {}
+            uses: Counter = Counter()
+            for c in (c for t in texts for c in chunks(wav(payload(t)))):
+                if bit_set(bits, bit_of(d := digest(c))):
+                    got[d] = c
+                    uses[d] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(got, pa.binary()), pa.array(got.values(), pa.binary()), pa.array([uses[d] for d in got], pa.int64())], names=["digest", "bytes", "uses"])
 
     kind = df.schema[key].dataType.simpleString()
     files = space.write(arrow_map(df, rows, f"{key} {kind}, media binary, n_bytes bigint, chunks array<struct<digest:binary,bytes:binary>>, whole boolean"), "files")
-    kept = space.write(arrow_map(df, shared, "digest binary, bytes binary").groupBy("digest").agg(F.first("bytes").alias("bytes")), "shared")
+    kept = arrow_map(df, shared, "digest binary, bytes binary, uses bigint").groupBy("digest").agg(F.first("bytes").alias("bytes"), F.sum("uses").alias("uses"))
+    kept = space.write(kept, "shared")
     return files, kept
 
 
@@ -210,7 +220,7 @@ def facts(files: DataFrame, kept: DataFrame, key: str = "doc_id") -> DataFrame:
     distinct = some.groupBy("media").agg(F.first("chunks").alias("chunks"), F.count("*").alias("holders"))
     pieces = distinct.select("media", "holders", F.posexplode("chunks").alias("seq", "chunk")).select("media", "holders", "seq", "chunk.*")
     present = pieces.filter("bytes is not null")
-    fetched = pieces.filter("bytes is null").drop("bytes").join(kept, "digest").select(*present.columns)
+    fetched = lookup_skewed(pieces.filter("bytes is null").drop("bytes"), kept, "digest", "uses").select(*present.columns)
     whole = present.unionByName(fetched).groupBy("media", "holders").agg(F.array_sort(F.collect_list(F.struct("seq", "bytes"))).alias("parts"))
 
     def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
