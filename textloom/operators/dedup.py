@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -69,28 +70,34 @@ def hamming(a: Column, b: Column) -> Column:
 
 
 def near_pairs(values: DataFrame, key: str = "doc_id", value: str = "value", radius: int = RADIUS) -> DataFrame:
-    """(a, b, distance) with a < b: four bands find every pair up to distance 3. Value 0 never matches.
+    """(a, b, distance) with a < b: every pair up to distance 3. Value 0 never matches.
 
-    Documents of equal value stand in one class, whose members are paired at the end: the band join
-    sees each value once.
+    Documents of equal value stand in one class, whose members are paired at the end: the join of
+    values sees each value once.
     """
-    if radius > RADIUS:
-        raise ValueError("four bands are complete up to a distance of 3")
     held = values.filter(F.col(value) != 0)
     distinct = held.select(value).distinct()
-    split = bands(distinct.withColumn("v", F.col(value)), "v", value)
-    left, right = split.withColumnRenamed("v", "x"), split.withColumnRenamed("v", "y")
-    close = left.join(right, ["band", "band_value"]).filter("x < y").select("x", "y").filter(hamming(F.col("x"), F.col("y")) <= radius).distinct()
-    both = close.unionByName(close.select(F.col("y").alias("x"), F.col("x").alias("y"))).unionByName(distinct.select(F.col(value).alias("x"), F.col(value).alias("y")))
+    both = value_links(values, value, radius).unionByName(distinct.select(F.col(value).alias("x"), F.col(value).alias("y")))
     one = held.select(F.col(key).alias("a"), F.col(value).alias("x"))
     other = held.select(F.col(key).alias("b"), F.col(value).alias("y"))
     return one.join(both, "x").join(other, "y").filter("a < b").select("a", "b", hamming(F.col("x"), F.col("y")).cast("int").alias("distance"))
 
 
 def value_links(values: DataFrame, value: str = "value", radius: int = RADIUS) -> DataFrame:
-    """(x, y), x ≠ y, both ways: values within the radius."""
-    split = bands(values.filter(F.col(value) != 0).select(F.col(value).alias("v"), F.col(value)).distinct(), "v", value)
-    pairs = split.withColumnRenamed("v", "x").join(split.withColumnRenamed("v", "y"), ["band", "band_value"]).filter("x <> y")
+    """(x, y), x ≠ y, both ways: values within the radius.
+
+    A value is cut into six blocks of 10 or 11 bits. Of two values that differ in three bits at most,
+    three blocks are equal, so they meet under one of twenty keys of 31 to 33 bits; bands of 16 bits
+    would put a 65,536th of all values into each bucket, however many there are.
+    """
+    if radius > RADIUS:
+        raise ValueError("three equal blocks of six are certain up to a distance of 3")
+    distinct = values.filter(F.col(value) != 0).select(F.col(value).alias("v")).distinct()
+    sizes = (11, 11, 11, 11, 10, 10)
+    blocks = [F.shiftrightunsigned("v", sum(sizes[:i])).bitwiseAND(F.lit((1 << n) - 1)) for i, n in enumerate(sizes)]
+    keys = F.array(*(F.shiftleft(blocks[a], 22).bitwiseOR(F.shiftleft(blocks[b], 11)).bitwiseOR(blocks[c]) for a, b, c in combinations(range(6), 3)))
+    split = distinct.select("v", F.posexplode(keys).alias("place", "key"))
+    pairs = split.withColumnRenamed("v", "x").join(split.withColumnRenamed("v", "y"), ["place", "key"]).filter("x <> y")
     return pairs.filter(hamming(F.col("x"), F.col("y")) <= radius).select("x", "y").distinct()
 
 
