@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from ..functions.codes import varint_length
 from ..functions.normalize import with_terms
 from ..plans.policy import Policy
-from ..plans.shared import numbered
+from ..plans.shared import numbered, stored
 
 HEADER_BYTES = 96
 DOCUMENT_BYTES = 42
+BLOCK = 1 << 16  # document ids of a block of postings
 VERSION = 1
 
 
@@ -60,24 +61,35 @@ def norms(post: DataFrame, terms: DataFrame, lens: DataFrame, key: str = "doc_id
 
 
 def build(docs: DataFrame, policy: Policy, key: str = "doc_id", host: str = "source") -> Index:
-    """docs (doc_id, host, text) → index. The termed table is read twice; cache or store it if text is costly."""
-    termed = with_terms(docs.select(key, F.col(host).alias("host"), "text"), policy).select(key, "host", "terms")
-    post = postings(termed, key)
-    n = docs.count()
+    """docs (doc_id, host, text) → index. Terms and postings are stored, so texts are read and tokenised once."""
+    termed = stored(with_terms(docs.select(key, F.col(host).alias("host"), "text"), policy).select(key, "host", "terms"), "terms")
+    post = stored(postings(termed, key), "postings")
+    n = termed.count()
     terms = with_idf(dictionary(post), n)
     return Index(norms(post, terms, lengths(termed, key), key), post, terms, n)
 
 
 def gaps(post: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(term, doc_id, tf, gap): differences of document ids within a term."""
-    order = Window.partitionBy("term").orderBy(key)
-    return post.withColumn("gap", F.col(key) - F.lag(key, 1, 0).over(order))
+    """(term, doc_id, tf, gap): differences of document ids within a term.
+
+    A term's postings are split by blocks of document ids, as a stopword stands in all documents; a
+    block's first gap is to the end of the term's block before it, one row a term and block.
+    """
+    placed = stored(post, "postings").withColumn("_block", F.floor(F.col(key) / BLOCK))
+    ends = placed.groupBy("term", "_block").agg(F.max(key).alias("_end"))
+    before = ends.select("term", "_block", F.lag("_end", 1, 0).over(Window.partitionBy("term").orderBy("_block")).alias("_before"))
+    inside = F.lag(key).over(Window.partitionBy("term", "_block").orderBy(key))
+    return placed.join(before, ["term", "_block"]).withColumn("gap", F.col(key) - F.coalesce(inside, F.col("_before"))).drop("_block", "_before")
 
 
 def ungap(coded: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Document ids from gaps, which are in document order as stored."""
-    order = Window.partitionBy("term").orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return coded.withColumn("decoded", F.sum("gap").over(order))
+    """Document ids from gaps, which are in document order as stored: sums of whole blocks, then within a block."""
+    placed = coded.withColumn("_block", F.floor(F.col(key) / BLOCK))
+    sums = placed.groupBy("term", "_block").agg(F.sum("gap").alias("_sum"))
+    upto = Window.partitionBy("term").orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = sums.select("term", "_block", (F.sum("_sum").over(upto) - F.col("_sum")).alias("_before"))
+    inside = F.sum("gap").over(Window.partitionBy("term", "_block").orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return placed.join(before, ["term", "_block"]).withColumn("decoded", F.col("_before") + inside).drop("_block", "_before")
 
 
 def entry_sizes(post: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -2,19 +2,38 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+LOCAL_DIR = "file:///tmp/checkpoints"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The folder that the cluster names; one of our own only where none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        spark.sparkContext.setCheckpointDir("file:///tmp/checkpoints")
+    """The folder that the cluster names; one of our own only in a local session that names none."""
+    if not named_dir(spark):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(LOCAL_DIR)
+
+
+def named_dir(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: what several later steps read is computed once, and columns stay prunable."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{(named_dir(spark) or LOCAL_DIR).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def cut(df: DataFrame) -> DataFrame:
