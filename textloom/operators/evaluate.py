@@ -26,8 +26,11 @@ def merge_marks(pooled: DataFrame, old: DataFrame) -> DataFrame:
 
 
 def precision(results: DataFrame, judged: DataFrame, k: int) -> DataFrame:
-    """(system, query_id, p_at_k, unjudged): relevant ones in the first k by k itself; unjudged ones are counted."""
-    top = results.filter(F.col("rank") <= k).join(judged, ["query_id", "doc_id"], "left")
+    """(system, query_id, p_at_k, unjudged): relevant ones in the first k by k itself; unjudged ones are counted.
+
+    judged: (query_id, doc_id, relevant), or (doc_id, relevant) where marks hold for every query.
+    """
+    top = results.filter(F.col("rank") <= k).join(judged, [c for c in ("query_id", "doc_id") if c in judged.columns], "left")
     return top.groupBy("system", "query_id").agg((F.coalesce(F.sum("relevant"), F.lit(0)) / F.lit(k)).alias("p_at_k"), F.sum(F.col("relevant").isNull().cast("bigint")).alias("unjudged"))
 
 

@@ -66,6 +66,6 @@ def robots(rows: DataFrame, rules: DataFrame, delay: float = DELAY) -> DataFrame
     """rows (url) against rules (origin, disallow, crawl_delay): allowed, and the delay to keep."""
     origin = F.regexp_extract("url", r"^([a-z]+://[^/?#]*)", 1)
     path = F.when(urls.path_of(F.col("url")) == "", F.lit("/")).otherwise(urls.path_of(F.col("url")))
-    placed = rows.withColumn("origin", origin).withColumn("_path", path).join(F.broadcast(rules), "origin", "left")
+    placed = rows.withColumn("origin", origin).withColumn("_path", path).join(rules, "origin", "left")
     denied = F.coalesce((F.col("disallow") != "") & F.col("_path").startswith(F.col("disallow")), F.lit(False))
     return placed.groupBy("url").agg((~F.bool_or(denied)).alias("allowed"), F.greatest(F.lit(delay), F.coalesce(F.max("crawl_delay"), F.lit(0.0))).alias("delay"))

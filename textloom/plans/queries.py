@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import codes, html, normalize, porter, urls
+from ..functions import codes, html, normalize, urls
 from ..functions import vocabulary as v
 from ..operators import cleaning, dedup, evaluate, frontier, index, search, statistics
 from ..sources import lists
@@ -609,7 +609,7 @@ def systems(s: SparkSession, d: str) -> DataFrame:
 
 
 def judged(s: SparkSession, d: str) -> DataFrame:
-    return asked(s, d).select("query_id").crossJoin(F.broadcast(table(s, d, "labels").select("doc_id", F.col("quality").alias("relevant"))))
+    return table(s, d, "labels").select("doc_id", F.col("quality").alias("relevant"))
 
 
 @query("eva1")
@@ -739,6 +739,3 @@ def sta13(s, d):
     candidates = s.createDataFrame(fx.LEMMA_CANDIDATES, "word string, noun string, verb string")
     return statistics.lemma_list(counts, candidates, ["was"], ["spurs"], ["meeting"], {"children": "child"})
 
-
-def stem_reference() -> dict[str, str]:
-    return {w: porter.stem(w) for w, _ in fx.STEMS}
