@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_map, table, text_batches
+from .license_texts import BODIES
 
 # Base phrases and labels of the contract.
 BASE_PHRASES = [
@@ -33,7 +34,7 @@ BASE_PHRASES = [
     ("cc by nc", "cc-by-nc"),
 ]
 
-#: (label, text, key phrases). The texts are openings or notices of public licences.
+#: (label, text, key phrases) of openings and short references; license_texts has whole bodies and notices.
 TEMPLATES = [
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", ("permission is hereby granted free of charge", "deal in the software without restriction")),
     ("mit", "released under the mit license", ("mit license",)),
@@ -81,7 +82,7 @@ class Template:
 
 def templates(least: float = 0.6) -> list[Template]:
     base = [Template.make(label, phrase, (phrase,), True, 1.0) for phrase, label in BASE_PHRASES]
-    return base + [Template.make(label, text, phrases, False, least) for label, text, phrases in TEMPLATES]
+    return base + [Template.make(label, text, phrases, False, least) for label, text, phrases in [*TEMPLATES, *BODIES]]
 
 
 def word_documents(df: DataFrame, vocabulary: frozenset[bytes], text: str = "text") -> tuple[dict[bytes, int], int]:
