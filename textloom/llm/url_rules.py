@@ -57,19 +57,23 @@ class Rule:
     name: str
     pattern: str
     is_host_rule: bool
+    only: tuple[str, ...] = ()  # the rule counts on these domains alone
+    never: tuple[str, ...] = ()  # and on none of these
     regex: str = field(init=False)
     literals: tuple[str, ...] = field(init=False)
 
     def __post_init__(self):
-        body = self.pattern.removeprefix("||")
-        start = r"^(?:[^/]*[.])?" if self.pattern.startswith("||") else ""
+        anchored = self.pattern.startswith("|")
+        start = r"^(?:[^/]*[.])?" if self.pattern.startswith("||") else "^" if anchored else ""
+        body = self.pattern.lstrip("|")
+        end = "$" if body.endswith("|") else ""
+        body = body.removesuffix("|")
         outside = "(?:^|[^a-z0-9]|$)"
-        object.__setattr__(self, "regex", start + "".join({"*": ".*", "^": outside}.get(c, re.escape(c)) for c in body))
-        anchored = self.pattern.startswith("||")
+        object.__setattr__(self, "regex", start + "".join({"*": ".*", "^": outside}.get(c, re.escape(c)) for c in body) + end)
         found = []
         for m in TOKEN.finditer(body.lower()):
             left = body[m.start() - 1] if m.start() else ("|" if anchored else "*")
-            right = body[m.end()] if m.end() < len(body) else "*"
+            right = body[m.end()] if m.end() < len(body) else end or "*"
             if left != "*" and right != "*":
                 found.append(m[0])
         object.__setattr__(self, "literals", tuple(found))
@@ -83,6 +87,32 @@ def method_rule(verdict: str, pattern: str) -> Rule:
     return Rule(verdict, pattern, pattern, False)
 
 
+def parse(lines: Iterable[str]) -> list[Rule]:
+    """Rules in the common filter-list syntax, one a line.
+
+    `||` anchors at a host label, `|` at the start or the end of host + path, `*` and `^` as in patterns;
+    `@@` makes an exception; `$domain=a.com|~b.com` names the hosts on which a rule counts. Empty lines,
+    comments (`!`, `[`), element rules (`##`) and rules with other options are passed over.
+    """
+    found = []
+    for line in map(str.strip, lines):
+        if not line or line[0] in "![" or "##" in line or "#@#" in line:
+            continue
+        verdict, text = (ALLOW, line[2:]) if line.startswith("@@") else (BLOCK, line)
+        pattern, _, options = text.partition("$")
+        named = [o.removeprefix("domain=") for o in options.split(",") if o.startswith("domain=")]
+        if len(named) != len([o for o in options.split(",") if o]) or not pattern.strip("|*^"):
+            continue
+        domains = [d.lower() for n in named for d in n.split("|") if d]
+        pattern = re.sub(r"^(\|?)https?://", r"\1", pattern)
+        found.append(Rule(verdict, line, pattern, False, tuple(d for d in domains if d[0] != "~"), tuple(d[1:] for d in domains if d[0] == "~")))
+    return found
+
+
+def within(host: str, domains: tuple[str, ...]) -> bool:
+    return any(host == d or host.endswith(f".{d}") for d in domains)
+
+
 def split_url(url: str | None) -> tuple[str, str]:
     m = PARTS.search(url) if url else None
     return (m[1].translate(UPPER), m[2]) if m else ("", "")
@@ -111,15 +141,19 @@ class RuleIndex:
             else:
                 self.always.append(entry)
 
+    def candidates(self, target: str) -> list:
+        """The rules to try on host + path: those filed under one of its tokens, and those without a literal."""
+        found = list(self.always)
+        for token in set(TOKEN.findall(target.translate(UPPER))):
+            found += self.by_token.get(token, ())
+        return found
+
     def judge(self, host: str, path: str) -> tuple[str | None, str]:
         target = host + path
         best: Rule | None = None
         method = ""
-        candidates = list(self.always)
-        for token in set(TOKEN.findall(target.translate(UPPER))):
-            candidates += self.by_token.get(token, ())
-        for rule, regex in candidates:
-            if not regex.search(target):
+        for rule, regex in self.candidates(target):
+            if rule.only and not within(host, rule.only) or within(host, rule.never) or not regex.search(target):
                 continue
             if not rule.is_host_rule:
                 method = ALLOW if ALLOW in (method, rule.verdict) else BLOCK
