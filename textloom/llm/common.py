@@ -74,7 +74,14 @@ def text_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1
         yield part, [t or "" for t in part.column(column).to_pylist()]
 
 
+#: Bytes of an Arrow batch on its way to a worker. The default of 64 MB, held several times over while a batch of long
+#: texts is built, is a large part of a small executor.
+BATCH_BYTES = 8 << 20
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow over batches of bounded bytes. The bound is a setting of the session, read when the plan runs, so it stays set; results do not depend on it."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
     return df.mapInArrow(fn, schema)
 
 
