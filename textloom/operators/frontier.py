@@ -36,9 +36,9 @@ def requeue(frontier: DataFrame) -> DataFrame:
     return frontier.withColumn("status", F.when(F.col("status") == INFLIGHT, F.lit(PENDING)).otherwise(F.col("status")))
 
 
-def schedule(frontier: DataFrame, delay: float = DELAY) -> DataFrame:
-    """The offline plan of a polite scheduler: starts on a host are `delay` apart, the best first."""
-    order = Window.partitionBy("host").orderBy(F.desc("priority"), "url")
+def schedule(frontier: DataFrame, delay: float = DELAY, ties: str = "discovered") -> DataFrame:
+    """The offline plan of a polite scheduler: starts on a host are `delay` apart, the best first, then by URL, the earlier of equal ones."""
+    order = Window.partitionBy("host").orderBy(F.desc("priority"), "url", ties)
     return frontier.withColumn("start", (F.row_number().over(order) - 1) * F.lit(delay))
 
 
